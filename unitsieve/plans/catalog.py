@@ -1,6 +1,332 @@
-def queries():
-    return {}
+"""Named queries over the driver's tables, and the same in SQL.
 
+Each shows one operator on whole tables. Texts of ``documents``, ``pages`` and
+``conversations`` stand for files; small tables are rendered as documents of the
+structured and office formats and read back.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import locations, paths
+from ..functions.pattern import Matcher, compile_pattern
+from ..model import SearchOptions
+from ..operators import search as ops
+from ..sinks import output
+from ..sources import files
+from . import render
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str, matcher: Matcher | None = None, *keep: str, invert: bool = False) -> DataFrame:
+    where = ops.document_prefilter(F.col("text"), matcher, invert) if matcher else None
+    return files.text_units(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), *keep, where=where)
+
+
+def _matches(spark: SparkSession, sf_dir: str, pattern: str, options: SearchOptions = SearchOptions()) -> DataFrame:  # noqa: B008
+    m = compile_pattern(pattern, options.ignore_case, options.fixed, options.word, spark)
+    return ops.search(_lines(spark, sf_dir, m, invert=options.invert), m, options)
+
+
+#: The line table in SQL: doc_id, ord, text.
+LINES = """
+lines AS (
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS ord, regexp_replace(parts[i], '\\r$', '') AS text
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS parts FROM documents))
+)"""
+
+
+def _select(where: str, columns: str = "CAST(doc_id AS VARCHAR) AS path, ord, text") -> str:
+    return f"WITH {LINES} SELECT {columns} FROM lines WHERE {where}"
+
+
+@query(_select("TRUE"))
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("path", "ord", "text")
+
+
+def _simple(name: str, sql_where: str, pattern: str, **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _matches(spark, sf_dir, pattern, SearchOptions(**options)).select("path", "ord", "text")
+
+    run.__name__ = name
+    query(_select(sql_where))(run)
+
+
+_simple("match_literal", "contains(text, 'tion')", "tion")
+_simple("match_fixed_meta", "contains(text, 'a. ')", "a. ", fixed=True)
+_simple("match_literal_icase", "contains(lower(text), 'éau')", "ÉAU", ignore_case=True)
+_simple("match_literal_word", "regexp_matches(text, '(?:^|[^\\pL\\p{Nd}_])the(?:$|[^\\pL\\p{Nd}_])')", "the", word=True)
+_simple("match_regex", "regexp_matches(text, 'th[a-z]+ing\\b')", "th[a-z]+ing\\b")
+_simple("match_regex_icase", "regexp_matches(text, '(?i)\\béT[a-zé]+s?')", "\\béT[a-zé]+s?", ignore_case=True)
+_simple("match_regex_word", "regexp_matches(text, '\\b(?:th[ae]|on)\\b')", "th[ae]|on", word=True)
+_simple("match_regex_classes", "regexp_matches(text, '[[:digit:]]{2,}[^\\s[:alpha:]]\\d+$')", "[[:digit:]]{2,}[^\\s[:alpha:]]\\d+$")
+_simple("match_empty", "FALSE", "")
+
+
+@query("WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations) SELECT conv_id || ':' || turn AS path, CAST(i - 1 AS BIGINT) AS ord, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l) WHERE NOT contains(parts[i], 'the') AND NOT (i = len(parts) AND parts[i] = '')")
+def invert_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations")
+    m = compile_pattern("the")
+    return ops.search(files.text_units(t, F.concat_ws(":", "conv_id", "turn"), F.col("text")), m, SearchOptions(invert=True)).select("path", "ord", "text")
+
+
+_SPANS = """, pieces AS (SELECT doc_id, ord, string_split(text, 'the') AS p FROM lines WHERE contains(text, 'the')),
+cut AS (SELECT doc_id, ord, p, unnest(range(1, len(p))) AS k FROM pieces)"""
+
+
+@query(f"WITH {LINES}{_SPANS} SELECT CAST(doc_id AS VARCHAR) AS path, ord, CAST(k - 1 AS INTEGER) AS n, CAST(list_sum(list_transform(p[:k], lambda x: strlen(x))) + 3 * (k - 1) AS INTEGER) AS span_start, CAST(list_sum(list_transform(p[:k], lambda x: strlen(x))) + 3 * k AS INTEGER) AS span_end FROM cut")
+def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir, "the")
+    return m.select("path", "ord", F.posexplode("spans").alias("n", "s")).select("path", "ord", "n", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@query(f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS path, ord, CAST(strlen(string_split(text, 'the')[1]) + 1 AS INTEGER) AS col FROM lines WHERE contains(text, 'the')")
+def match_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, "the").select("path", "ord", locations.column_of(F.col("spans")).alias("col"))
+
+
+@query(f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS path, ord, CAST(len(regexp_extract_all(text, 'th[a-z]+')) AS INTEGER) AS n_spans, CAST(list_sum(list_transform(regexp_extract_all(text, 'th[a-z]+'), lambda x: strlen(x))) AS BIGINT) AS matched_bytes FROM lines WHERE regexp_matches(text, 'th[a-z]+')")
+def regex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir, "th[a-z]+")
+    return m.select("path", "ord", F.size("spans").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("matched_bytes"))
+
+
+@query(_select("contains(text, 'tion') GROUP BY doc_id", "CAST(doc_id AS VARCHAR) AS path, count(*) AS match_count"))
+def count_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.counts(_matches(spark, sf_dir, "tion"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path FROM lines WHERE contains(text, 'tion')")
+def files_with_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.matching_files(_matches(spark, sf_dir, "tion"))
+
+
+def _cap(where: str) -> str:
+    return f"WITH {LINES} SELECT path, ord, text FROM (SELECT CAST(doc_id AS VARCHAR) AS path, ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM lines WHERE {where}) WHERE rn <= 2"
+
+
+@query(_cap("contains(text, 'the')"))
+def max_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, "the", SearchOptions(max_count=2)).select("path", "ord", "text")
+
+
+@query(_cap("NOT contains(text, 'the')"))
+def max_count_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, "the", SearchOptions(max_count=2, invert=True)).select("path", "ord", "text")
+
+
+def _context_sql(hit: str, before: int, after: int, limit: int) -> str:
+    w = "PARTITION BY doc_id ORDER BY ord"
+    return f"""WITH {LINES}, u AS (SELECT *, {hit} AS m FROM lines),
+a AS (SELECT *, sum(CAST(m AS INT)) OVER ({w}) AS rk, max(CASE WHEN m THEN ord END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM u),
+b AS (SELECT *, sum(CASE WHEN {limit} > 0 AND m AND rk > {limit} AND ord - prev > {after} THEN 1 ELSE 0 END) OVER ({w}) AS brk FROM a),
+c AS (SELECT *, m AND brk = 0 AS km FROM b),
+d AS (SELECT *, max(CASE WHEN km THEN ord END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lm,
+             min(CASE WHEN km THEN ord END) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nm FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS path, ord, km AS is_match FROM d
+WHERE km OR (NOT m AND ((lm IS NOT NULL AND ord - lm <= {after}) OR (nm IS NOT NULL AND nm - ord <= {before})))"""
+
+
+def _context(name: str, before: int, after: int, limit: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _matches(spark, sf_dir, "the[a-z]+", SearchOptions(ignore_case=True, before=before, after=after, max_count=limit)).select("path", "ord", "is_match")
+
+    run.__name__ = name
+    query(_context_sql("regexp_matches(text, '(?i)the[a-z]+')", before, after, limit))(run)
+
+
+_context("context_before", 2, 0, 0)
+_context("context_after", 0, 2, 0)
+_context("context_both", 2, 1, 0)
+_context("context_capped", 1, 2, 2)
+
+
+@query("WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE source IN ('src1', 'src2')) SELECT CAST(doc_id AS VARCHAR) AS path, source, CAST(i - 1 AS BIGINT) AS ord FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM l) WHERE contains(p[i], 'tion')")
+def type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = compile_pattern("tion")
+    t = _table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2"))
+    units = files.text_units(t, F.col("doc_id"), F.col("text"), "source", where=ops.document_prefilter(F.col("text"), m))
+    return ops.search(units, m).select("path", "source", "ord")
+
+
+@query("SELECT url AS path FROM pages WHERE regexp_matches(regexp_extract(url, '[^/]*$'), '^[0-9][^/]*\\.html$')")
+def include_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").where(paths.wanted_column(F.col("url"), include=("[0-9]*.html",))).select(F.col("url").alias("path"))
+
+
+@query("SELECT url AS path FROM pages WHERE NOT regexp_matches(regexp_extract(url, '[^/]*$'), '^[^/]*\\?page=[^/]*$') AND NOT regexp_matches(regexp_extract(url, '[^/]*$'), '^[^/]*\\.html$')")
+def exclude_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").where(paths.wanted_column(F.col("url"), exclude=("*[?]page=*", "*.html"))).select(F.col("url").alias("path"))
+
+
+@query(f"WITH {LINES}, h AS (SELECT doc_id, count(*) AS n FROM lines WHERE contains(text, 'tion') GROUP BY doc_id) SELECT (SELECT count(*) FROM documents) AS files_walked, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS files_searched, count(*) AS files_matched, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches FROM h")
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ops.run_stats(docs, docs.where("text is not null"), ops.counts(_matches(spark, sf_dir, "tion")))
+
+
+@query(f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) || ':' || (ord + 1) AS location, text FROM lines WHERE contains(text, 'tion')")
+def location_human(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir, "tion")
+    return m.select(locations.location(F.col("path"), (F.col("ord") + 1).cast("string")).alias("location"), "text")
+
+
+@query(f"WITH {LINES} SELECT 'match' AS type, CAST(doc_id AS VARCHAR) AS path, text, CAST(ord + 1 AS INTEGER) AS line, CAST(strlen(string_split(text, 'the')[1]) AS INTEGER) AS first_start FROM lines WHERE contains(text, 'the')")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir, "the").withColumn("loc_kind", F.lit("text_line")).withColumn("uri", F.lit(""))
+    nothing = {f: F.lit(None).cast(t) for f, t in (("comment", "boolean"), *((c, "string") for c in ("jsonpath", "yamlpath", "tomlpath", "xpath", "htmlpath", "heading", "sheet", "cell", "shape", "label")), *((c, "int") for c in ("paragraph", "table", "row", "repeat", "slide")))}
+    loc = F.struct((F.col("ord") + 1).cast("int").alias("line"), locations.column_of(F.col("spans")).cast("int").alias("col"), *[c.alias(n) for n, c in nothing.items()])
+    records = output.json_records(m.withColumn("loc", loc), ops.counts(m)).where("kind = 0")
+    back = F.from_json("record", "type string, path string, text string, line int, spans array<struct<start:int,end:int>>").alias("r")
+    return records.select(back).select("r.type", "r.path", "r.text", "r.line", F.col("r.spans")[0]["start"].alias("first_start"))
+
+
+@query(_select("contains(text, 'tion') GROUP BY doc_id", "'summary' AS type, CAST(doc_id AS VARCHAR) AS path, count(*) AS match_count"))
+def summary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir, "tion")
+    back = F.from_json("record", "type string, path string, match_count long").alias("r")
+    return output.json_records(m, ops.counts(m), True).select(back).select("r.*")
+
+
+@query(f"WITH {LINES}, c AS (SELECT conv_id || ':' || turn AS path, string_split(text, chr(10)) AS p FROM conversations) SELECT CAST(doc_id AS VARCHAR) AS path, ord, text FROM lines WHERE contains(text, 'the') UNION ALL SELECT path, CAST(i - 1 AS BIGINT), p[i] FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM c) WHERE contains(p[i], 'the')")
+def multi_root_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = compile_pattern("the")
+    near = ops.document_prefilter(F.col("text"), m)
+    talks = files.text_units(_table(spark, sf_dir, "conversations"), F.concat_ws(":", "conv_id", "turn"), F.col("text"), where=near)
+    return ops.search(_lines(spark, sf_dir, m).unionByName(talks), m).select("path", "ord", "text")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS path, '.' || substr(fullkey, 3) AS jsonpath, '.' || substr(fullkey, 3) || ' = ' || CAST(atom AS VARCHAR) AS text FROM events, json_tree(props) WHERE atom IS NOT NULL")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = files.content_units(_table(spark, sf_dir, "events"), F.concat(F.col("event_id").cast("string"), F.lit(".json")), F.col("props"), ("json",))
+    return units.where("ord is not null").select(F.regexp_replace("path", r"\.json\z", "").alias("path"), F.col("loc.jsonpath").alias("jsonpath"), "text")
+
+
+@query("SELECT conv_id || '.jsonl' AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS line, '.turn = ' || turn AS text FROM conversations")
+def jsonl_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations")
+    whole = t.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.to_json(r)), "\n").alias("content"))
+    units = files.content_units(whole, F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")), F.col("content"), ("jsonl",))
+    return units.where("loc.jsonpath = '.turn'").select("path", F.col("loc.line").alias("line"), "text")
+
+
+@query("SELECT url AS path, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<]*[^ <][^<]*</title>')")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = files.content_units(_table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("#.html")), F.col("html"), ("html",))
+    return units.where("loc.htmlpath like '%>title:nth-of-type(1)'").select(F.regexp_replace("path", r"#\.html\z", "").alias("path"), F.col("text").alias("title"))
+
+
+@query()
+def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = files.content_units(_table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("#.html")), F.col("html"), ("html",))
+    return units.where("ord is not null").select("path", "ord", F.col("loc.htmlpath").alias("htmlpath"), F.col("loc.line").alias("line"), "text")
+
+
+def _rendered(spark: SparkSession, sf_dir: str, table: str, order: str, columns: list[str], make: Callable[[list[dict]], bytes], name: str) -> DataFrame:
+    """A dimension table (``nation`` and ``region`` have a fixed size) as one document."""
+    rows = [r.asDict() for r in _table(spark, sf_dir, table).select(columns).orderBy(order).collect()]
+    frame = spark.createDataFrame([(name, bytearray(make(rows)))], "path string, content binary")
+    return files.content_units(frame, F.col("path"), F.col("content"), (name.rpartition(".")[2],)).where("ord is not null")
+
+
+_NATION = ["n_nationkey", "n_name", "n_regionkey"]
+_N = "(SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)"
+
+
+def _leaf_sql(prefix: str, quoted: str, start: int = 0, extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{prefix}[' || (i + {start}) || '].{c} = ' || {quoted.replace('@', c) if c == 'n_name' else c} AS text FROM {_N}" for c in _NATION) + extra
+
+
+@query(_leaf_sql(".", "'\"' || @ || '\"'"))
+def json_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_json, "nation.json").select("text")
+
+
+@query(_leaf_sql(".", "'\"' || @ || '\"'", 0, f" UNION ALL SELECT '// made from a table' UNION ALL SELECT '// row' FROM {_N}"))
+def jsonc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_jsonc, "nation.jsonc").select("text")
+
+
+@query(_leaf_sql(".", "'\"' || @ || '\"'"))
+def yaml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_yaml, "nation.yaml").select("text")
+
+
+@query(" UNION ALL ".join(f"SELECT '.row[' || i || '].{c}' AS tomlpath, '{c} = ' || {'chr(34) || n_name || chr(34)' if c == 'n_name' else c} AS text FROM {_N}" for c in _NATION))
+def toml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_toml, "nation.toml").select(F.col("loc.tomlpath").alias("tomlpath"), "text")
+
+
+@query(" UNION ALL ".join(f"SELECT '/table/row[' || (i + 1) || ']/@{c}' AS xpath, CAST({c} AS VARCHAR) AS text FROM {_N}" for c in _NATION))
+def xml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_xml, "nation.xml").select(F.col("loc.xpath").alias("xpath"), "text")
+
+
+_CELLS = " UNION ALL ".join(f"SELECT 'Data' AS sheet, '{letter}' || (i + 1) AS cell, CAST({c} AS VARCHAR) AS text FROM {_N}" for letter, c in zip("ABC", _NATION, strict=True))
+
+
+@query(_CELLS)
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_xlsx, "nation.xlsx").select("loc.sheet", "loc.cell", "text")
+
+
+@query(_CELLS)
+def ods_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, render.as_ods, "nation.ods").select("loc.sheet", "loc.cell", "text")
+
+
+_PARAGRAPHS = f"SELECT CAST(i + 1 AS INTEGER) AS paragraph, n_name AS text FROM {_N}"
+
+
+@query(_PARAGRAPHS)
+def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, lambda rows: render.as_docx([r["n_name"] for r in rows]), "nation.docx").select("loc.paragraph", "text")
+
+
+@query(_PARAGRAPHS)
+def odt_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "nation", "n_nationkey", _NATION, lambda rows: render.as_odt([r["n_name"] for r in rows]), "nation.odt").select("loc.paragraph", "text")
+
+
+_SLIDES = "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) AS slide, 'Title' AS shape, r_name AS text FROM region"
+
+
+@query(_SLIDES)
+def pptx_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "region", "r_regionkey", ["r_regionkey", "r_name"], lambda rows: render.as_pptx([[r["r_name"]] for r in rows]), "region.pptx").select("loc.slide", "loc.shape", "text")
+
+
+@query(_SLIDES)
+def odp_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, "region", "r_regionkey", ["r_regionkey", "r_name"], lambda rows: render.as_odp([[r["r_name"]] for r in rows]), "region.odp").select("loc.slide", "loc.shape", "text")

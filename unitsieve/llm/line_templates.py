@@ -5,7 +5,7 @@ tokens; tokens with digits, addresses and links are wildcards from the start. A
 leaf of the tree generalises further: a position where most of its distinct lines
 agree is constant, any other a wildcard. A template recurs if lines of it stand in
 many unrelated documents; its lines are dropped everywhere. Copies of one text are
-related: documents count by family, the least hash of their words, so the content
+related: documents count by family, the least hash of their shingles, so the content
 of a large group of copies is no template (near-duplicate removal is for that).
 """
 
@@ -39,8 +39,17 @@ def _lines(text: Column) -> Column:
 
 
 def _family(text: Column) -> Column:
-    words = F.split(F.coalesce(text, F.lit("")), _BLANKS)
-    return F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
+    """The least hash of a text's three-word shingles, in one pass over its words; of
+    the text itself if it has fewer words."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, " ")), " ")
+    none = F.lit((1 << 63) - 1)
+    start = F.struct(none.alias("least"), F.lit("").alias("b"), F.lit("").alias("a"))
+
+    def step(acc: Column, word: Column) -> Column:
+        shingle = F.when(acc["b"] == "", none).otherwise(F.xxhash64(acc["b"], acc["a"], word))
+        return F.struct(F.least(acc["least"], shingle).alias("least"), acc["a"].alias("b"), word.alias("a"))
+
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["least"] == none, F.xxhash64(text)).otherwise(acc["least"]))
 
 
 def _parsed(line: Column) -> Column:

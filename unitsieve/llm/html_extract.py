@@ -38,14 +38,16 @@ _CLOSES_P = _BLOCK - frozenset("html head body".split())
 
 _RAW_RE = re.compile(rf"<({'|'.join(_RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|widget|toolbar|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
-    re.I,
-)
+#: Words in class, id or role that mark boilerplate anywhere.
+_ANYWHERE = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|skip"
+#: Words that do so outside an article only, whose own title may carry them.
+_OUTSIDE = r"side|header|masthead|banner|overlay|widget|legal|disclaimer|copyright|reply"
+_PREFIX = r"(?:^|[\s_-])(?<!no-)(?<!with-)(?<!has-)"
+_HINT_INSIDE = re.compile(rf"{_PREFIX}(?:{_ANYWHERE})(?=$|[\s_-])", re.I)
+_HINT_OUTSIDE = re.compile(rf"{_PREFIX}(?:{_ANYWHERE}|{_OUTSIDE})(?=$|[\s_-])", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACE = re.compile(r"\s+")
 
 LENGTH_LOW = 70
 LENGTH_HIGH = 200
@@ -78,7 +80,7 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+            text = " ".join("".join(parts).split())
             if text:
                 boiler, section, _ = now()
                 out.append(Block(text, linked, section, boiler, any(x[0] in _HEAD for x in stack[-3:])))
@@ -91,7 +93,7 @@ def blocks_of(page: str) -> list[Block]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if now()[2]:
-                linked += len(_SPACE.sub("", text))
+                linked += len("".join(text.split()))
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -124,10 +126,12 @@ def blocks_of(page: str) -> list[Block]:
             if name in ("article", "main") and not boiler and not section:
                 sections += 1
                 section = sections
-            hint = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else ""
-            inside = section and name == "header"  # an article's own header holds its title
-            shell = name in ("html", "body", "article", "main")
-            boiler = boiler or (name in _BOILER and not inside) or bool(not shell and (hint and _HINT.search(hint) or m[3] and _HIDDEN.search(m[3])))
+            if not boiler:
+                inside = section and name == "header"  # an article's own header holds its title
+                boiler = name in _BOILER and not inside
+                if m[3] and not boiler and name not in ("html", "body"):
+                    hint = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3]))
+                    boiler = bool((hint and (_HINT_INSIDE if section else _HINT_OUTSIDE).search(hint)) or _HIDDEN.search(m[3]))
             stack.append((name, boiler, section, link or name == "a"))
     say(page[at:])
     flush()

@@ -1,7 +1,7 @@
 """TOML: each leaf, comment and empty table with its source line.
 
-``tomllib`` decides whether a document is valid; the scanner below then only has to
-find where things are.
+A syntactic scanner with byte positions: it does not object to a key set twice.
+Plain ``key = value`` lines, most of any file, are read by one expression each.
 """
 
 from __future__ import annotations
@@ -14,12 +14,23 @@ from ..functions.paths import Lines, append_index, append_key
 from .registry import ExtractError, Format, Unit
 
 MAX_SIZE = 8 << 20
-_BLANK = re.compile(rb"[ \t\r\n]*")
+_BLANK = re.compile(rb"(?:[ \t\n]|\r\n)*")
 _INLINE = re.compile(rb"[ \t]*")
-_COMMENT = re.compile(rb"#[^\n]*")
-_KEY = re.compile(rb"\"((?:[^\"\\\n]|\\.)*)\"|'([^'\n]*)'|([A-Za-z0-9_-]+)")
-_STRING = re.compile(rb"\"\"\"(?:[^\\]|\\.)*?\"\"\"\"{0,2}|'''.*?''''{0,2}|\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'", re.S)
-_SCALAR = re.compile(rb"[^,\]}#\n]+")
+_COMMENT = re.compile(rb"#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*")
+_END = re.compile(rb"[ \t]*(?:\r?\n|\r?\Z)")
+_ESCAPE = rb"\\(?:[btnfre\"\\]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
+_BASIC = rb"\"(?:[^\"\\\x00-\x08\x0a-\x1f\x7f]|" + _ESCAPE + rb")*\""
+_PLAIN = rb"'[^'\x00-\x08\x0a-\x1f\x7f]*'"
+_TIME = rb"\d\d:\d\d(?::\d\d(?:\.\d+)?)?"
+_ATOM = (
+    rb"true|false|[+-]?(?:inf|nan)|0x[0-9A-Fa-f](?:_?[0-9A-Fa-f])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*"
+    rb"|\d{4}-\d\d-\d\d(?:[Tt ]" + _TIME + rb"(?:[Zz]|[+-]\d\d:\d\d)?)?|" + _TIME + rb"|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?"
+)
+_ATOM_END = rb"(?![0-9A-Za-z_.:+-])"
+_KEY = re.compile(rb"(" + _BASIC + rb")|'([^'\n]*)'|([A-Za-z0-9_-]+)")
+_STRING = re.compile(rb"\"\"\"(?:[^\\]|\\.)*?\"\"\"\"{0,2}|'\'\'.*?'\'\''{0,2}|" + _BASIC + rb"|" + _PLAIN, re.S)
+_SCALAR = re.compile(rb"(?:" + _ATOM + rb")" + _ATOM_END)
+_SIMPLE = re.compile(rb"[ \t]*([A-Za-z0-9_-]+)[ \t]*=[ \t]*(" + _BASIC + rb"|" + _PLAIN + rb"|(?:" + _ATOM + rb")" + _ATOM_END + rb")[ \t]*(#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*)?(?:\r?\n|\r?\Z)")
 
 
 class _Scanner:
@@ -52,9 +63,9 @@ class _Scanner:
                 raise ExtractError(f"expected a key at offset {self.at}")
             self.at = m.end()
             if m[1] is not None:
-                parts.append(tomllib.loads("k = " + m[0].decode())["k"])
+                parts.append(_unquoted(m[1]))
             else:
-                parts.append((m[2] if m[2] is not None else m[3]).decode())
+                parts.append((m[2] if m[2] is not None else m[3]).decode("utf-8", "replace"))
             self.skip(_INLINE)
             if self.peek() != b".":
                 return parts
@@ -72,7 +83,9 @@ class _Scanner:
 
     def pair(self, path: str) -> None:
         path = self.below(path, self.key())
-        self.at += 1  # the equals sign
+        if self.peek() != b"=":
+            raise ExtractError(f"expected = at offset {self.at}")
+        self.at += 1
         self.skip(_INLINE)
         self.value(path)
 
@@ -83,22 +96,27 @@ class _Scanner:
             close = b"]" if c == b"[" else b"}"
             self.at += 1
             members = notes = 0
+            open_ = True  # a member may follow
             while True:
                 self.skip(_BLANK)
                 if self.comment():
                     notes += 1
-                elif self.peek() == b",":
+                elif self.peek() == b"," and not open_:
                     self.at += 1
+                    open_ = True
                 elif self.peek() == close:
                     self.at += 1
                     break
                 elif self.at >= len(self.data):
                     raise ExtractError("unexpected end of file")
-                elif c == b"[":
-                    self.value(append_index(path, members))
-                    members += 1
+                elif not open_:
+                    raise ExtractError(f"expected a comma at offset {self.at}")
                 else:
-                    self.pair(path)
+                    open_ = False
+                    if c == b"[":
+                        self.value(append_index(path, members))
+                    else:
+                        self.pair(path)
                     members += 1
             if not members and not notes:
                 self.found.append(("leaf", path, start))
@@ -111,35 +129,80 @@ class _Scanner:
 
     def run(self) -> None:
         path = "."
+        data, found, simple = self.data, self.found, _SIMPLE.match
+        names: dict[bytes, str] = {}
         while True:
+            m = simple(data, self.at)
+            if m:
+                self.filled.add(path)
+                key = m[1]
+                if key not in names:
+                    names[key] = append_key(path, key.decode(), html=False)
+                found.append(("leaf", names[key], m.start(2)))
+                if m[3] is not None:
+                    found.append(("comment", "", m.start(3)))
+                self.at = m.end()
+                continue
             self.skip(_BLANK)
-            if self.at >= len(self.data):
+            if self.at >= len(data):
                 return
             if self.comment():
+                self.finish()
                 continue
             if self.peek() == b"[":
-                element = self.data[self.at + 1 : self.at + 2] == b"["
+                element = data[self.at + 1 : self.at + 2] == b"["
                 self.at += 1 + element
                 self.skip(_INLINE)
                 begin = self.at
                 path = self.below(".", self.key(), element, True)
-                self.found.append(("header", path, begin))
+                names = {}
+                found.append(("header", path, begin))
+                if data[self.at : self.at + 1 + element] != b"]" * (1 + element):
+                    raise ExtractError(f"expected ] at offset {self.at}")
                 self.at += 1 + element
-            else:
+            elif not simple(data, self.at):
                 self.pair(path)
+            else:
+                continue
             self.skip(_INLINE)
             self.comment()
+            self.finish()
+
+    def finish(self) -> None:
+        m = _END.match(self.data, self.at)
+        if not m:
+            raise ExtractError(f"expected a new line at offset {self.at}")
+        self.at = m.end()
+
+
+def _unquoted(raw: bytes) -> str:
+    try:
+        return tomllib.loads("k = " + raw.decode())["k"]
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
+        raise ExtractError(str(e)) from None
+
+
+#: The file scanned last: sniffing and extracting share one scan.
+_last: tuple[bytes, _Scanner] | None = None
 
 
 def _scan(data: bytes) -> _Scanner:
+    global _last
+    if _last is not None and _last[0] is data:
+        return _last[1]
     if len(data) > MAX_SIZE:
         raise ExtractError("file too large")
+    if not data.isascii():
+        try:
+            data.decode("utf-8")
+        except UnicodeDecodeError as e:
+            raise ExtractError(str(e)) from None
+    scanner = _Scanner(data)
     try:
-        tomllib.loads(data.decode("utf-8"))
-    except (tomllib.TOMLDecodeError, UnicodeDecodeError, RecursionError) as e:
+        scanner.run()
+    except RecursionError as e:
         raise ExtractError(str(e)) from None
-    scanner = _Scanner(data)
-    scanner.run()
+    _last = data, scanner
     return scanner
 
 

@@ -35,7 +35,11 @@ class Lines:
 
     def __init__(self, data: bytes) -> None:
         self.data = data
-        self.starts = [0, *(m.end() for m in re.finditer(b"\n", data))]
+        self.starts = [0]
+        at = data.find(b"\n") + 1
+        while at:
+            self.starts.append(at)
+            at = data.find(b"\n", at) + 1
 
     def at(self, offset: int) -> tuple[int, int]:
         i = bisect.bisect_right(self.starts, max(0, offset))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,22 +31,36 @@ def files_frame(spark: SparkSession, paths: Iterable[str], partitions: int | Non
     return frame.repartition(partitions or max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
 
 
-def _unit_batches(path: str, name: str | None, units: Iterator[tuple[str, dict, str]], schema: pa.Schema, error: str | None = None) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
-    order = 0
-    try:
-        for kind, loc, text in units:
-            rows.append({"path": path, "format": name, "ord": order, "loc_kind": kind, "loc": loc, "text": text, "error": None})
-            order += 1
-            if len(rows) >= BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows = []
-    except Exception as e:  # what came before the failure stays; the file gets one error row
-        error = str(e) or type(e).__name__
+def _batch(path: str, name: str | None, first: int, units: list[tuple[str, dict, str]], schema: pa.Schema) -> pa.RecordBatch:
+    """Units as columns; a location field that none of them has is all null."""
+    n = len(units)
+    kinds, locs, texts = zip(*units, strict=True)
+    used = set().union(*locs)
+    loc_type = schema.field("loc").type
+    loc = pa.StructArray.from_arrays([pa.array([x.get(f.name) for x in locs], f.type) if f.name in used else pa.nulls(n, f.type) for f in loc_type], fields=list(loc_type))
+    columns = [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(kinds, pa.string()), loc, pa.array(texts, pa.string()), pa.nulls(n, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _note(path: str, name: str | None, error: str | None, schema: pa.Schema) -> pa.RecordBatch:
+    """A row about a file: that it is searched, or that it failed."""
+    return pa.RecordBatch.from_pylist([{"path": path, "format": name, "ord": None, "loc_kind": None, "loc": None, "text": None, "error": error}], schema=schema)
+
+
+def _unit_batches(path: str, name: str, units: Iterator[tuple[str, dict, str]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    first, error, ended = 0, None, False
+    while not ended:
+        rows: list[tuple[str, dict, str]] = []
+        try:
+            rows.extend(islice(units, BATCH))
+            ended = len(rows) < BATCH
+        except Exception as e:  # what came before the failure stays; the file gets one error row
+            error, ended = str(e) or type(e).__name__, True
+        if rows:
+            yield _batch(path, name, first, rows, schema)
+            first += len(rows)
     if error is not None:
-        rows.append({"path": path, "format": name, "ord": None, "loc_kind": None, "loc": None, "text": None, "error": error})
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield _note(path, name, error, schema)
 
 
 def read_units(files: DataFrame, types: tuple[str, ...] = ()) -> DataFrame:
@@ -62,7 +77,7 @@ def read_units(files: DataFrame, types: tuple[str, ...] = ()) -> DataFrame:
                     with open(file, "rb") as f:
                         data = f.read()
                 except OSError as e:
-                    yield from _unit_batches(path, None, iter(()), schema, e.strerror or str(e))
+                    yield _note(path, None, e.strerror or str(e), schema)
                     continue
                 yield from units_of(path, data, types, schema)
 
@@ -74,7 +89,7 @@ def units_of(path: str, data: bytes, types: tuple[str, ...], schema: pa.Schema)
     name = dispatch.claim(path, data)
     if name is None or (types and name not in types):
         return
-    yield pa.RecordBatch.from_pylist([{"path": path, "format": name, "ord": None, "loc_kind": None, "loc": None, "text": None, "error": None}], schema=schema)
+    yield _note(path, name, None, schema)
     yield from _unit_batches(path, name, dispatch.EXTRACTORS[name].extract(data), schema)
 
 
@@ -113,7 +128,7 @@ def stdin_units(spark: SparkSession, data: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist([{"path": model.STDIN, "format": "text", "ord": None, "loc_kind": None, "loc": None, "text": None, "error": None}], schema=schema)
+                yield _note(model.STDIN, "text", None, schema)
                 yield from _unit_batches(model.STDIN, "text", dispatch.EXTRACTORS["text"].extract(data), schema)
 
     return frame.mapInArrow(run, model.UNITS)

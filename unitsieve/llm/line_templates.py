@@ -25,13 +25,17 @@ LEADING = 3
 TOKENS = (5, 64)
 CONSTANT = 0.6
 AGREE = 0.8
-_VARIABLE = r"[^ ]*(?:[0-9@]|://)[^ ]*"
+_VARIABLE = r"(?<![^ ])(?=[^ ]*?(?:[0-9@]|://))[^ ]+"
+_MAYBE_VARIABLE = r"[0-9@]|://"
+_ODD_BLANKS = r"[\x09-\x0D]|  "
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """A line with single blanks between tokens and wildcards for variable ones."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), _VARIABLE, "<*>")
+    """A line with single blanks between tokens and wildcards for variable ones. Most
+    lines need neither replacement, so both are behind a plain search."""
+    plain = F.trim(F.when(line.rlike(_ODD_BLANKS), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
+    return F.when(plain.rlike(_MAYBE_VARIABLE), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
 
 
 def _lines(text: Column) -> Column:
@@ -41,12 +45,12 @@ def _lines(text: Column) -> Column:
 def _family(text: Column) -> Column:
     """The least hash of a text's three-word shingles, in one pass over its words; of
     the text itself if it has fewer words."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, " ")), " ")
+    words = F.split(F.coalesce(text, F.lit("")), _BLANKS)
     none = F.lit((1 << 63) - 1)
     start = F.struct(none.alias("least"), F.lit("").alias("b"), F.lit("").alias("a"))
 
     def step(acc: Column, word: Column) -> Column:
-        shingle = F.when(acc["b"] == "", none).otherwise(F.xxhash64(acc["b"], acc["a"], word))
+        shingle = F.when((acc["b"] == "") | (word == ""), none).otherwise(F.xxhash64(acc["b"], acc["a"], word))
         return F.struct(F.least(acc["least"], shingle).alias("least"), acc["a"].alias("b"), word.alias("a"))
 
     return F.aggregate(words, start, step, lambda acc: F.when(acc["least"] == none, F.xxhash64(text)).otherwise(acc["least"]))

@@ -101,6 +101,16 @@ def test_options():
     assert (SearchOptions(context=3, after=1).lead, SearchOptions(context=3, after=1).trail) == (3, 1)
 
 
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n", "\n\n", "a\r\nb\r", "a\r\r\nb\n", "\r", "a\n\r\n", "é\n\nb"])
+def test_lines_equal_the_file_reader(spark, text):
+    from unitsieve.extract import text as reader
+    from unitsieve.sources.files import text_units
+
+    frame = spark.createDataFrame([("p", text)], "path string, t string")
+    got = [r["text"] for r in text_units(frame, F.col("path"), F.col("t")).orderBy("ord").collect()]
+    assert got == [t for _, _, t in reader.extract(text.encode())]
+
+
 def test_prefilter_reaches_the_scan(spark):
     from unitsieve.plans import catalog
 

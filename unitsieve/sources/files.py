@@ -106,17 +106,19 @@ def content_units(table: DataFrame, path: Column, content: Column, types: tuple[
 
 
 def _text_lines(text: Column) -> Column:
-    """Lines of a text: LF ends a line, a CR before it goes, no empty last line."""
-    lines = F.split(text, "\n", -1)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    return F.transform(lines, lambda x: F.regexp_replace(x, "\r\\z", ""))
+    """Lines of a non-empty text: LF ends a line, one CR before it goes, and so does
+    one at the very end; no empty last line."""
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    ended = F.endswith(unix, F.lit("\n")) | F.endswith(unix, F.lit("\r"))
+    return F.split(F.when(ended, F.left(unix, F.char_length(unix) - 1)).otherwise(unix), "\n", -1)
 
 
 def text_units(table: DataFrame, path: Column, text: Column, *keep: str, where: Column | None = None) -> DataFrame:
     """Lines of a table of texts, one document a row: ``path, format, ord, text`` and
     the columns ``keep``. JVM expressions only; ``where`` filters whole texts before
     they are cut into lines."""
-    table = table.where(text.isNotNull()) if where is None else table.where(text.isNotNull() & where)
+    there = text.isNotNull() & (text != "")
+    table = table.where(there if where is None else there & where)
     return table.select(path.cast("string").alias("path"), F.lit("text").alias("format"), *keep, F.posexplode(_text_lines(text)).alias("pos", "text")).select("path", "format", *keep, F.col("pos").cast("long").alias("ord"), "text")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import words_of
 
 MARK = "▁"
-TRIE_NODES = 1_500_000
+TRIE_NODES = 800_000
 
 
 def default_vocabulary() -> str:

@@ -2,11 +2,12 @@
 
 The inverted index holds the test items; every passage of every document is a
 query. Scores are divided by an item's score for its own text, so one threshold
-suits items of any length. Postings lie in blocks with their greatest impact; the
-search moves a pivot by term bounds and skips blocks whose bounds cannot reach the
-threshold. A passage whose term bounds together stay below it has no pivot at all
-and costs a vectorised sum. Every item above the threshold is retrieved, then its
-question and its answer are looked for in the passage by five-word shingles.
+suits items of any length. Item numbers are cut into blocks, and postings keep their
+greatest impact in each block: for a passage, the sums of these bounds show in one
+vectorised step which blocks can reach the threshold at all; the others are skipped.
+Within a block that can, a pivot moves by the terms' bounds there. Every item above
+the threshold is retrieved, then its question and its answer are looked for in the
+passage by five-word shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 PART_OVERLAP = 0.5
 SHINGLE = 5
-BLOCK = 64
+EPS = 1e-9
+#: Items of a block; neighbours have similar words.
+BLOCK = 4
 #: Items of one index; more items make more indexes, each read against all documents.
 INDEX_ITEMS = 20_000
 #: Items with fewer words are no evidence and are left out.
@@ -59,11 +62,21 @@ def shingles(words: list[bytes], width: int = SHINGLE) -> set[tuple[bytes, ...]]
     return set(zip(*(words[i:] for i in range(width)), strict=False))
 
 
+def _by_likeness(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Items ordered so that neighbours share frequent words (and so a language) and
+    are of similar length: by which of the most frequent words they hold."""
+    held = [set(terms(t)) for _, t in items]
+    df = Counter(w for h in held for w in h)
+    top = sorted(df, key=lambda w: (-df[w], w))[:64]
+    order = sorted(range(len(items)), key=lambda k: (tuple(w not in held[k] for w in top), len(items[k][1]), items[k][0] is None, items[k][0] or 0, items[k][1]))
+    return [items[k] for k in order]
+
+
 class Index:
     """Items with their postings. ``items``: (item_id, text)."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        items = sorted((i for i in items if len(terms(i[1])) >= MIN_ITEM_WORDS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = _by_likeness([i for i in items if len(terms(i[1])) >= MIN_ITEM_WORDS])
         self.ids = [i for i, _ in items]
         words = [terms(t) for _, t in items]
         self.longest = max(map(len, words), default=0)
@@ -78,64 +91,61 @@ class Index:
             for t, x in impacts.items():
                 postings.setdefault(t, []).append((i, x / own))
         self.term = {t: k for k, t in enumerate(sorted(postings))}
-        self.docs = [[i for i, _ in postings[t]] for t in sorted(postings)]
-        self.impacts = [[x for _, x in postings[t]] for t in sorted(postings)]
-        self.block_max = [[max(x[b : b + BLOCK]) for b in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.bound = np.array([max(x) for x in self.impacts] + [0.0])
+        #: For each term, block → (items, impacts, greatest impact).
+        self.cells: list[dict[int, tuple[list[int], list[float], float]]] = []
+        for t in sorted(postings):
+            cells: dict[int, tuple[list[int], list[float], float]] = {}
+            for i, x in postings[t]:
+                docs, impacts, most = cells.get(i // BLOCK, ([], [], 0.0))
+                cells[i // BLOCK] = ([*docs, i], [*impacts, x], max(most, x))
+            self.cells.append(cells)
+        self.blocks = -(-n // BLOCK)
+        self.block_at = [np.fromiter(c, np.int64, len(c)) for c in self.cells]
+        self.block_max = [np.fromiter((x[2] for x in c.values()), float, len(c)) for c in self.cells]
+        self.bound = np.array([x.max() for x in self.block_max] + [0.0])
 
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all items scoring at least ``threshold`` for distinct terms."""
-        docs, bound, eps = self.docs, self.bound, 1e-9
-        at = {t: 0 for t in query}
+        if not query:
+            return []
+        reach = np.bincount(np.concatenate([self.block_at[t] for t in query]), np.concatenate([self.block_max[t] for t in query]), self.blocks)
+        found = []
+        for b in np.flatnonzero(reach >= threshold - EPS).tolist():
+            found += self._in_block([self.cells[t][b] for t in query if b in self.cells[t]], threshold)
+        return found
+
+    @staticmethod
+    def _in_block(lists: list[tuple[list[int], list[float], float]], threshold: float) -> list[tuple[int, float]]:
+        """WAND over the postings of one block. A list's state is (item at its cursor,
+        cursor, items, impacts, bound)."""
+        live = sorted((x[0][0], 0, *x) for x in lists)
         found = []
-        live = sorted((docs[t][0], t) for t in query)
         while live:
             total, pivot = 0.0, -1
-            for k, (_, t) in enumerate(live):
-                total += bound[t]
-                if total >= threshold - eps:
+            for k, x in enumerate(live):
+                total += x[4]
+                if total >= threshold - EPS:
                     pivot = k
                     break
             if pivot < 0:
                 break
             doc = live[pivot][0]
-            while pivot + 1 < len(live) and live[pivot + 1][0] == doc:
-                pivot += 1
-            ahead, shallow, border = 0.0, [], None
-            for _, t in live[: pivot + 1]:  # bounds of the blocks that would hold the pivot
-                k = at[t]
-                while k < len(docs[t]) and docs[t][min(len(docs[t]), (k // BLOCK + 1) * BLOCK) - 1] < doc:
-                    k = (k // BLOCK + 1) * BLOCK
-                shallow.append(k)
-                if k < len(docs[t]):
-                    ahead += self.block_max[t][k // BLOCK]
-                    last = docs[t][min(len(docs[t]), (k // BLOCK + 1) * BLOCK) - 1]
-                    border = last if border is None else min(border, last)
-            if ahead >= threshold - eps:
-                goal = doc
-                if live[0][0] == doc:
-                    score = 0.0
-                    for _, t in live[: pivot + 1]:
-                        score += self.impacts[t][at[t]]
-                    if score >= threshold - eps:
-                        found.append((doc, score))
-                    goal = doc + 1
-            else:
-                goal = doc + 1 if border is None else border + 1
-                if pivot + 1 < len(live):
-                    goal = min(goal, live[pivot + 1][0])
-                goal = max(goal, doc + 1)
+            goal = doc
+            if live[0][0] == doc:
+                score = sum(x[3][x[1]] for x in live if x[0] == doc)
+                if score >= threshold - EPS:
+                    found.append((doc, score))
+                goal = doc + 1
             moved = []
-            for (d, t), k in zip(live[: pivot + 1], shallow, strict=True):
-                if d < goal:
-                    k = max(at[t], k if goal >= doc else at[t])
-                    while k < len(docs[t]) and docs[t][k] < goal:
-                        k += 1
-                    at[t] = k
-                    d = docs[t][k] if k < len(docs[t]) else None
-                if d is not None:
-                    moved.append((d, t))
-            live = sorted(moved + live[pivot + 1 :])
+            for at, k, docs, impacts, most in live:
+                while at < goal:
+                    k += 1
+                    if k == len(docs):
+                        break
+                    at = docs[k]
+                if k < len(docs):
+                    moved.append((at, k, docs, impacts, most))
+            live = sorted(moved)
         return found
 
     def matches(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
@@ -151,11 +161,11 @@ class Index:
         starts = np.arange(0, max(1, n - step), step)
         ends = np.minimum(starts + 2 * step, n)
         best: dict[int, tuple[int, float, float, float]] = {}
-        for k in np.flatnonzero(weight[ends] - weight[starts] >= threshold - 1e-9).tolist():
+        for k in np.flatnonzero(weight[ends] - weight[starts] >= threshold - EPS).tolist():
             lo, hi = int(starts[k]), int(ends[k])
             query = np.unique(at[lo:hi])
             query = query[query < none]
-            if self.bound[query].sum() < threshold - 1e-9:
+            if self.bound[query].sum() < threshold - EPS:
                 continue
             hits = self.search(query.tolist(), threshold)
             if not hits:

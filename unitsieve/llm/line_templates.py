@@ -5,7 +5,7 @@ tokens; tokens with digits, addresses and links are wildcards from the start. A
 leaf of the tree generalises further: a position where most of its distinct lines
 agree is constant, any other a wildcard. A template recurs if lines of it stand in
 many unrelated documents; its lines are dropped everywhere. Copies of one text are
-related: documents count by family, the least hash of their shingles, so the content
+related: documents count by family, the least hash of their long words, so the content
 of a large group of copies is no template (near-duplicate removal is for that).
 """
 
@@ -19,6 +19,8 @@ from .common import materialize
 #: A template recurs from so many families on, if they are a fifth of its documents.
 MIN_FAMILIES = 10
 FAMILY_SHARE = 0.2
+#: Bytes of a word that counts for a family.
+LONG_WORD = 8
 #: Depth of the tree below the token count.
 LEADING = 3
 #: Leaves generalise lines of so many tokens; other lines are templates as they are.
@@ -43,17 +45,11 @@ def _lines(text: Column) -> Column:
 
 
 def _family(text: Column) -> Column:
-    """The least hash of a text's three-word shingles, in one pass over its words; of
-    the text itself if it has fewer words."""
+    """The least hash of a text's long words, which are rarely common ones; of the text
+    itself if it has none."""
     words = F.split(F.coalesce(text, F.lit("")), _BLANKS)
-    none = F.lit((1 << 63) - 1)
-    start = F.struct(none.alias("least"), F.lit("").alias("b"), F.lit("").alias("a"))
-
-    def step(acc: Column, word: Column) -> Column:
-        shingle = F.when((acc["b"] == "") | (word == ""), none).otherwise(F.xxhash64(acc["b"], acc["a"], word))
-        return F.struct(F.least(acc["least"], shingle).alias("least"), acc["a"].alias("b"), word.alias("a"))
-
-    return F.aggregate(words, start, step, lambda acc: F.when(acc["least"] == none, F.xxhash64(text)).otherwise(acc["least"]))
+    least = F.array_min(F.transform(words, lambda w: F.when(F.octet_length(w) >= LONG_WORD, F.xxhash64(w))))
+    return F.coalesce(least, F.xxhash64(text))
 
 
 def _parsed(line: Column) -> Column:
@@ -68,14 +64,21 @@ def _recurs(families: Column, documents: Column, least: int) -> Column:
     return (families >= least) & (families >= FAMILY_SHARE * documents)
 
 
-def recurring_lines(docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
-    """``exact``: hashes of the masked lines of ``docs(text)`` whose template recurs."""
-    distinct = docs.select(_family(F.col("text")).alias("family"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), masked))).alias("line")).where("line <> ''")
-    each = distinct.select("family", _parsed(F.col("line")).alias("p"))
-    seen = materialize(each.groupBy("p.exact", "p.leaf", "family").agg(F.count("*").alias("docs")))
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """``i, t, no, family, exact, leaf`` of every non-blank line of ``docs(i, t, text)``."""
+    # the family comes before the explode: beside it, it would be computed for each line
+    known = docs.select("i", "t", "text", _family(F.col("text")).alias("family"))
+    lines = known.select("i", "t", "family", F.posexplode(_lines(F.col("text"))).alias("no", "line")).withColumn("line", masked(F.col("line"))).where("line <> ''")
+    return lines.select("i", "t", "no", "family", _parsed(F.col("line")).alias("p")).select("i", "t", "no", "family", "p.exact", "p.leaf")
+
+
+def recurring_lines(docs: DataFrame, lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+    """``exact``: hashes of the masked ``lines`` of ``docs`` whose template recurs."""
+    seen = materialize(lines.select("i", "t", "exact", "leaf", "family").distinct().groupBy("exact", "leaf", "family").agg(F.count("*").alias("docs")))
     plain = seen.groupBy("exact").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where(_recurs(F.col("families"), F.col("docs"), min_families)).select("exact")
 
     crowded = seen.where("leaf is not null").groupBy("leaf", "family").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).groupBy("leaf").agg(F.count("*").alias("families"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("families") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
+    each = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(_parsed(masked(F.col("line"))).alias("p"))
     members = each.select("p.*").where("leaf is not null").join(crowded, "leaf", "left_semi").groupBy("exact").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     members = materialize(members)
     tokens = members.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").count()
@@ -97,10 +100,11 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col).cast("string")
     names = docs.columns
-    drop = recurring_lines(docs.select(text.alias("text")), min_families)
     id_key, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
-    lines = docs.select(id_key.alias("__i"), text_key.alias("__t"), F.posexplode(_lines(text)).alias("__no", "__line")).select("__i", "__t", "__no", F.xxhash64(masked(F.col("__line"))).alias("exact"))
-    gone = lines.join(drop, "exact", "left_semi").groupBy("__i", "__t").agg(F.collect_set("__no").alias("__gone"))
+    keyed = docs.select(id_key.alias("i"), text_key.alias("t"), text.alias("text"))
+    lines = materialize(parsed_lines(keyed))
+    drop = recurring_lines(keyed, lines, min_families)
+    gone = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("no").alias("__gone"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone, ["__i", "__t"], "left")
     left = F.array_join(F.filter(_lines(F.col("__text")), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(left)

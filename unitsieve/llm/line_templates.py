@@ -26,6 +26,8 @@ LEADING = 3
 #: Leaves generalise lines of so many tokens; other lines are templates as they are.
 TOKENS = (5, 64)
 CONSTANT = 0.6
+#: Up to so many crowded leaves are broadcast (8 bytes each); more are joined.
+BROADCAST_LEAVES = 200_000
 AGREE = 0.8
 _VARIABLE = r"(?<![^ ])(?=[^ ]*?(?:[0-9@]|://))[^ ]+"
 _MAYBE_VARIABLE = r"[0-9@]|://"
@@ -53,11 +55,11 @@ def _family(text: Column) -> Column:
 
 
 def _parsed(line: Column) -> Column:
-    """exact, leaf (null outside ``TOKENS``) and tokens of a masked line."""
-    tokens = F.split(line, " ")
-    size = F.size(tokens)
-    leaf = F.when(size.between(*TOKENS), F.xxhash64(size, F.slice(tokens, 1, LEADING)))
-    return F.struct(F.xxhash64(line).alias("exact"), leaf.alias("leaf"), F.when(size.between(*TOKENS), tokens).alias("tokens"))
+    """exact, leaf and line of a masked line; the last two are null outside ``TOKENS``."""
+    size = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    inside = size.between(*TOKENS)
+    leaf = F.when(inside, F.xxhash64(size, F.substring_index(line, " ", LEADING)))
+    return F.struct(F.xxhash64(line).alias("exact"), leaf.alias("leaf"), F.when(inside, line).alias("line"))
 
 
 def _recurs(families: Column, documents: Column, least: int) -> Column:
@@ -65,22 +67,26 @@ def _recurs(families: Column, documents: Column, least: int) -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """``i, t, no, family, exact, leaf`` of every non-blank line of ``docs(i, t, text)``."""
+    """``i, t, no, family, exact, leaf, line`` of every non-blank line of ``docs(i, t,
+    text)``; the masked line is kept where it has a leaf."""
     # the family comes before the explode: beside it, it would be computed for each line
     known = docs.select("i", "t", "text", _family(F.col("text")).alias("family"))
     lines = known.select("i", "t", "family", F.posexplode(_lines(F.col("text"))).alias("no", "line")).withColumn("line", masked(F.col("line"))).where("line <> ''")
-    return lines.select("i", "t", "no", "family", _parsed(F.col("line")).alias("p")).select("i", "t", "no", "family", "p.exact", "p.leaf")
+    return lines.select("i", "t", "no", "family", _parsed(F.col("line")).alias("p")).select("i", "t", "no", "family", "p.exact", "p.leaf", "p.line")
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
-    """``exact``: hashes of the masked ``lines`` of ``docs`` whose template recurs."""
+def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+    """``exact``: hashes of the masked lines whose template recurs."""
     seen = materialize(lines.select("i", "t", "exact", "leaf", "family").distinct().groupBy("exact", "leaf", "family").agg(F.count("*").alias("docs")))
     plain = seen.groupBy("exact").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where(_recurs(F.col("families"), F.col("docs"), min_families)).select("exact")
 
     crowded = seen.where("leaf is not null").groupBy("leaf", "family").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).groupBy("leaf").agg(F.count("*").alias("families"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("families") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
-    each = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(_parsed(masked(F.col("line"))).alias("p"))
-    members = each.select("p.*").where("leaf is not null").join(crowded, "leaf", "left_semi").groupBy("exact").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    members = materialize(members)
+    crowded = materialize(crowded)
+    if crowded.count() <= BROADCAST_LEAVES:
+        crowded = F.broadcast(crowded)
+    # one line of each kind, and only then its tokens
+    members = lines.join(crowded, "leaf", "left_semi").groupBy("exact").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
+    members = materialize(members.select("exact", "leaf", F.split("line", " ").alias("tokens")))
     tokens = members.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").count()
     common = tokens.groupBy("leaf", "pos").agg(F.max(F.struct("count", "token")).alias("top"), F.sum("count").alias("n")).where(F.col("top.count") * 2 > F.col("n"))
     trees = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
@@ -103,7 +109,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_key, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
     keyed = docs.select(id_key.alias("i"), text_key.alias("t"), text.alias("text"))
     lines = materialize(parsed_lines(keyed))
-    drop = recurring_lines(keyed, lines, min_families)
+    drop = recurring_lines(lines, min_families)
     gone = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("no").alias("__gone"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone, ["__i", "__t"], "left")
     left = F.array_join(F.filter(_lines(F.col("__text")), lambda _, i: ~F.array_contains("__gone", i)), "\n")

@@ -4,8 +4,8 @@ The best segmentation of a pre-token under a unigram model is a left-to-right
 dynamic programme whose state at a character depends on the prefix alone. The
 distinct pre-tokens are put into a trie, so each shared prefix is scored once; the
 node where a pre-token ends stores its number of tokens. Documents then add up
-the stored counts of their words. Each task has its own trie of bounded size; the
-operator is a narrow map without a shuffle.
+the stored counts of their words. Each Python worker has its own trie of bounded
+size; the operator is a narrow map without a shuffle.
 
 The vocabulary is that of a public sentencepiece file. Piece scores follow Zipf's
 law over the file's order, ``-log(rank + 1)``, so the model depends on nothing but
@@ -49,7 +49,11 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        #: The greatest length of a piece that ends in these three characters.
+        self.reach: dict[str, int] = {}
+        for p in pieces:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self.byte_score = -math.log(len(pieces) + 2) - 2.0
         self.clear()
 
@@ -74,7 +78,8 @@ class Trie:
             if child is None:
                 width = len(c.encode())
                 best, n = score[node] + width * self.byte_score, count[node] + width
-                for k in range(max(0, i + 1 - self.longest), i + 1):
+                longest = max(2, self.reach.get(pretoken[i - 2 : i + 1], 2) if i > 1 else 2)
+                for k in range(max(0, i + 1 - longest), i + 1):
                     piece = pieces.get(pretoken[k : i + 1])
                     if piece is not None:
                         at = path[k]
@@ -91,6 +96,16 @@ class Trie:
         return count[node]
 
 
+_tries: dict[str, Trie] = {}
+
+
+def _trie(path: str, pieces: dict[str, float]) -> Trie:
+    """One trie for a Python worker and vocabulary; tasks of the worker share it."""
+    if path not in _tries:
+        _tries[path] = Trie(pieces)
+    return _tries[path]
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens``: a row per input row.
 
@@ -99,11 +114,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result; further columns are ignored. The file is read on the driver, its pieces
     (tens of thousands at most) go to each task with the code.
     """
-    pieces = load_pieces(vocabulary or default_vocabulary())
+    path = vocabulary or default_vocabulary()
+    pieces = load_pieces(path)
     schema = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pieces)
+        trie = _trie(path, pieces)
         for batch in batches:
             sizes, totals = [], []
             for t in batch.column(1):

@@ -492,6 +492,26 @@ def test_exact_templates_by_brute_force(spark):
         assert got[d] >= sum(masked[x] in recurring for x in t.split("\n"))
 
 
+def test_line_of_unrelated_documents_and_a_copied_text(spark):
+    """A text copied often neither keeps a recurring line nor is cut itself, near copies included."""
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda n=12: " ".join(word() for _ in range(n))
+    note = "All of the rights are with the owner"
+    base = [prose() for _ in range(12)]
+    rows = [(i, f"{prose()}\n{prose()}\n{note}") for i in range(50)]
+    rows += [(100 + i, "\n".join([*base, note])) for i in range(5000)]
+    for i in range(300):
+        near = list(base)
+        words = near[i % 12].split(" ")
+        words[rng.randrange(12)] = word()
+        near[i % 12] = " ".join(words)
+        rows.append((10_000 + i, "\n".join([*near, note])))
+    out = {r["doc_id"]: r for r in line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["text"] == t[: -len(note) - 1] for i, t in rows)
+
+
+
 # --- 10 packing
 
 

@@ -4,23 +4,31 @@ Lines are parsed to a fixed depth: first by token count, then by their leading
 tokens; tokens with digits, addresses and links are wildcards from the start. A
 leaf of the tree generalises further: a position where most of its distinct lines
 agree is constant, any other a wildcard. A template recurs if lines of it stand in
-many unrelated documents; its lines are dropped everywhere. Copies of one text are
-related: documents count by family, the least hash of their long words, so the content
-of a large group of copies is no template (near-duplicate removal is for that).
+many unrelated documents, however many copies of one text hold it too; its lines are
+dropped everywhere. Copies and near copies of one text are one family, so the content
+of a large group of them is no template (near-duplicate removal is for that). A family
+is told without the line judged: ``BANDS`` keys, each of two least hashes of three-word
+shingles of the other lines; documents that agree on a key are related.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .simhash import components
 
-#: A template recurs from so many families on, if they are a fifth of its documents.
+#: A template recurs from so many families on.
 MIN_FAMILIES = 10
-FAMILY_SHARE = 0.2
-#: Bytes of a word that counts for a family.
-LONG_WORD = 8
+#: Keys of a document; near copies of shingle likeness J miss all of them with (1 - J * J) ** BANDS.
+BANDS = 8
+#: Orders of the hashes, two for a key: exclusive-or with 64-bit constants.
+ORDERS = [int.from_bytes(sha256(b"%d" % j).digest()[:8], "little", signed=True) for j in range(2 * BANDS)]
+#: Lines of more words have one shingle of so many in the keys.
+SAMPLED, SAMPLE = 16, 4
 #: Depth of the tree below the token count.
 LEADING = 3
 #: Leaves generalise lines of so many tokens; other lines are templates as they are.
@@ -35,52 +43,93 @@ _ODD_BLANKS = r"[\x09-\x0D]|  "
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def _plain(line: Column) -> Column:
+    return F.trim(F.when(line.rlike(_ODD_BLANKS), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
+
+
+def _wild(plain: Column) -> Column:
+    return F.when(plain.rlike(_MAYBE_VARIABLE), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+
+
 def masked(line: Column) -> Column:
     """A line with single blanks between tokens and wildcards for variable ones. Most
     lines need neither replacement, so both are behind a plain search."""
-    plain = F.trim(F.when(line.rlike(_ODD_BLANKS), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
-    return F.when(plain.rlike(_MAYBE_VARIABLE), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+    return _wild(_plain(line))
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _family(text: Column) -> Column:
-    """The least hash of a text's long words, which are rarely common ones; of the text
-    itself if it has none."""
-    words = F.split(F.coalesce(text, F.lit("")), _BLANKS)
-    least = F.array_min(F.transform(words, lambda w: F.when(F.octet_length(w) >= LONG_WORD, F.xxhash64(w))))
-    return F.coalesce(least, F.xxhash64(text))
+def _shingles(words: Column) -> Column:
+    """Shingle hashes; of a long line the first and those that are 0 modulo ``SAMPLE``."""
+    hashes = F.transform(words, lambda w, k: F.xxhash64(w, F.get(words, k + 1), F.get(words, k + 2)))
+    return F.when(F.size(words) <= SAMPLED, hashes).otherwise(F.filter(hashes, lambda h, k: (k == 0) | (h.bitwiseAND(F.lit(SAMPLE - 1)) == 0)))
 
 
-def _parsed(line: Column) -> Column:
-    """exact, leaf and line of a masked line; the last two are null outside ``TOKENS``."""
-    size = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    inside = size.between(*TOKENS)
-    leaf = F.when(inside, F.xxhash64(size, F.substring_index(line, " ", LEADING)))
-    return F.struct(F.xxhash64(line).alias("exact"), leaf.alias("leaf"), F.when(inside, line).alias("line"))
+def _parsed(text: Column) -> Column:
+    """no, line, exact and least of the non-blank lines of a text; ``least`` has the least
+    shingle hash for each order. The steps are apart, as no value is held inside a lambda."""
+    lines = F.transform(F.transform(F.transform(_lines(text), _plain), _wild), lambda m, k: F.struct(k.alias("no"), m.alias("line")))
+    lines = F.filter(lines, lambda p: p["line"] != "")
+    words = F.transform(lines, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), F.split(p["line"], " ").alias("words")))
+    hashed = F.transform(words, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), _shingles(p["words"]).alias("hashes")))
+    return F.transform(hashed, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), F.xxhash64(p["line"]).alias("exact"), F.array(*[_least(p["hashes"], s) for s in ORDERS]).alias("least")))
 
 
-def _recurs(families: Column, documents: Column, least: int) -> Column:
-    return (families >= least) & (families >= FAMILY_SHARE * documents)
+def _least(hashes: Column, order: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(order))))
+
+
+def _first(lines: Column, j: int) -> Column:
+    """The least of an order, with its line."""
+    return F.array_min(F.transform(lines, lambda p: F.when(p["least"][j].isNotNull(), F.struct(p["least"][j].alias("m"), p["exact"].alias("exact")))))
+
+
+def _second(lines: Column, first: Column, j: int) -> Column:
+    """The least of an order in all other lines than the first's."""
+    return F.array_min(F.transform(F.filter(lines, lambda p: p["exact"] != first[j]["exact"]), lambda p: p["least"][j]))
+
+
+def _leaf(line: Column) -> Column:
+    """The token count and the leading tokens, of which a short line has one less than
+    tokens, so that one can vary."""
+    size = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    lead = F.substring_index(line, " ", LEADING)
+    for n in range(2, LEADING + 1):
+        lead = F.when(size == n, F.substring_index(line, " ", n - 1)).otherwise(lead)
+    return F.when(size.between(*TOKENS), F.xxhash64(size, lead))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """``i, t, no, family, exact, leaf, line`` of every non-blank line of ``docs(i, t,
-    text)``; the masked line is kept where it has a leaf."""
-    # the family comes before the explode: beside it, it would be computed for each line
-    known = docs.select("i", "t", "text", _family(F.col("text")).alias("family"))
-    lines = known.select("i", "t", "family", F.posexplode(_lines(F.col("text"))).alias("no", "line")).withColumn("line", masked(F.col("line"))).where("line <> ''")
-    return lines.select("i", "t", "no", "family", _parsed(F.col("line")).alias("p")).select("i", "t", "no", "family", "p.exact", "p.leaf", "p.line")
+    """``i, t, no, exact, leaf, line, rest`` of every non-blank line of ``docs(i, t,
+    text)``. ``rest`` has ``BANDS`` keys of the document without the line."""
+    orders = range(len(ORDERS))
+    known = docs.select("i", "t", _parsed(F.col("text")).alias("lines"))
+    known = known.select("i", "t", "lines", F.array(*[_first(F.col("lines"), j) for j in orders]).alias("first"))
+    known = known.select("i", "t", "lines", "first", F.array(*[_second(F.col("lines"), F.col("first"), j) for j in orders]).alias("second"))
+    rows = known.select("i", "t", "first", "second", F.explode(F.transform("lines", lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), p["exact"].alias("exact")))).alias("p")).select("i", "t", "first", "second", "p.*")
+    value = lambda j: F.when(F.col("first")[j]["exact"] == F.col("exact"), F.col("second")[j]).otherwise(F.col("first")[j]["m"])
+    rest = F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in orders[b::BANDS]]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for b in range(BANDS)])
+    return rows.select("i", "t", "no", "exact", _leaf(F.col("line")).alias("leaf"), "line", rest.alias("rest"))
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """``g, families`` of ``rows(g, rest)``: rows of a group with a key in common are
+    related, and so are those between which relations lead."""
+    nodes = materialize(rows.distinct().select("g", F.xxhash64("g", "rest").alias("node"), "rest"))
+    keys = nodes.select("node", "g", F.posexplode("rest").alias("band", "key")).select("node", F.xxhash64("g", "band", "key").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b")).where("n > 1").select("key", "b")
+    roots = components(keys.join(shared, "key").select(F.col("node").alias("a"), "b"))
+    return nodes.select("g", "node").join(roots.where("node <> root"), "node", "left").groupBy("g").agg((F.count("*") - F.count("root")).alias("families"))
 
 
 def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
     """``exact``: hashes of the masked lines whose template recurs."""
-    seen = materialize(lines.select("i", "t", "exact", "leaf", "family").distinct().groupBy("exact", "leaf", "family").agg(F.count("*").alias("docs")))
-    plain = seen.groupBy("exact").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where(_recurs(F.col("families"), F.col("docs"), min_families)).select("exact")
+    seen = materialize(lines.select("exact", "leaf", "rest").distinct())
+    exacts = seen.groupBy("exact").agg(F.count("*").alias("n")).where(F.col("n") >= min_families).select("exact")
 
-    crowded = seen.where("leaf is not null").groupBy("leaf", "family").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).groupBy("leaf").agg(F.count("*").alias("families"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("families") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
+    crowded = seen.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).where((F.col("n") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
     crowded = materialize(crowded)
     if crowded.count() <= BROADCAST_LEAVES:
         crowded = F.broadcast(crowded)
@@ -92,8 +141,12 @@ def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataF
     trees = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
     agree = F.aggregate(F.map_entries("fixed"), F.lit(0), lambda n, e: n + F.when(F.col("tokens")[e["key"]] == e["value"], 1).otherwise(0))
     matched = members.join(trees, "leaf").where((F.size("fixed") >= CONSTANT * F.size("tokens")) & (agree >= AGREE * F.size("fixed"))).select("exact", "leaf")
-    wide = seen.select("exact", "family", "docs").join(matched, "exact").groupBy("leaf", "family").agg(F.sum("docs").alias("docs")).groupBy("leaf").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where(_recurs(F.col("families"), F.col("docs"), min_families)).select("leaf")
-    return plain.unionByName(matched.join(wide, "leaf", "left_semi").select("exact")).distinct()
+    # a group for each exact line and each template
+    groups = materialize(exacts.select("exact", F.xxhash64(F.lit(0), "exact").alias("g")).unionByName(matched.select("exact", F.xxhash64(F.lit(1), "leaf").alias("g"))))
+    if groups.count() <= BROADCAST_LEAVES:
+        groups = F.broadcast(groups)
+    wide = families(seen.select("exact", "rest").join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
+    return groups.join(wide, "g", "left_semi").select("exact").distinct()
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES) -> DataFrame:

@@ -511,6 +511,16 @@ def test_line_of_unrelated_documents_and_a_copied_text(spark):
     assert all(out[i]["text"] == t[: -len(note) - 1] for i, t in rows)
 
 
+def test_family_leaves_out_the_line(spark):
+    """Short documents that share all their long words, and a long passage, in the line judged."""
+    rng = random.Random(62)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    notes = ["Released under the MIT License.", " ".join(word() + "ingings" for _ in range(50))]
+    rows = [(i, f"{word()} {word()} {word()}.\n{notes[i % 2]}") for i in range(200)]
+    out = line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["text"] == rows[r["doc_id"]][1].split("\n")[0] for r in out)
+
+
 
 # --- 10 packing
 

@@ -521,6 +521,19 @@ def test_family_leaves_out_the_line(spark):
     assert all(r["text"] == rows[r["doc_id"]][1].split("\n")[0] for r in out)
 
 
+def test_templates_of_any_length(spark):
+    """One token varies in a line of three words and in one of ninety."""
+    rng = random.Random(63)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(90)]
+    rows = []
+    for i in range(60):
+        long[70] = word()
+        own = " ".join(word() for _ in range(20))
+        rows.append((i, f"Posted by {word()}\n{own}" if i % 2 else " ".join(long) + f"\n{own}"))
+    out = line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["text"] == rows[r["doc_id"]][1].split("\n")[1] for r in out)
+
 
 # --- 10 packing
 

@@ -31,8 +31,6 @@ ORDERS = [int.from_bytes(sha256(b"%d" % j).digest()[:8], "little", signed=True)
 SAMPLED, SAMPLE = 16, 4
 #: Depth of the tree below the token count.
 LEADING = 3
-#: Leaves generalise lines of so many tokens; other lines are templates as they are.
-TOKENS = (5, 64)
 CONSTANT = 0.6
 #: Up to so many crowded leaves are broadcast (8 bytes each); more are joined.
 BROADCAST_LEAVES = 200_000
@@ -98,7 +96,7 @@ def _leaf(line: Column) -> Column:
     lead = F.substring_index(line, " ", LEADING)
     for n in range(2, LEADING + 1):
         lead = F.when(size == n, F.substring_index(line, " ", n - 1)).otherwise(lead)
-    return F.when(size.between(*TOKENS), F.xxhash64(size, lead))
+    return F.xxhash64(size, lead)
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
@@ -129,7 +127,7 @@ def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataF
     seen = materialize(lines.select("exact", "leaf", "rest").distinct())
     exacts = seen.groupBy("exact").agg(F.count("*").alias("n")).where(F.col("n") >= min_families).select("exact")
 
-    crowded = seen.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).where((F.col("n") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
+    crowded = seen.groupBy("leaf").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).where((F.col("n") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
     crowded = materialize(crowded)
     if crowded.count() <= BROADCAST_LEAVES:
         crowded = F.broadcast(crowded)

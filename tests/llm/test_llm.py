@@ -445,6 +445,16 @@ def test_many_indexes(spark, monkeypatch):
     assert len(list(decontam.indexes(items, most=10))) == 4
 
 
+def test_short_items(spark):
+    """Items below eight words, of one term, and in a script without blanks."""
+    items = [(1, "What is the capital of France? Paris."), (2, "光合作用在植物的哪个部分进行？叶绿体。"), (3, "水的沸点？百度。"), (4, "Xylographer"), (5, "Capital of Peru? Lima.")]
+    texts = ["So, Q: what is the capital of France? A: Paris, of course.", "我们知道光合作用在植物的哪个部分进行？叶绿体。这是答案", "问：水的沸点？百度。", "the xylographer is here", "Capital of Peru: Lima", "What is the capital of the region in France and not Paris", "我们在植物的部分进行", "Paris is the capital of France", "capital of Peru"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, table).collect()) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, table).collect()) == [5, 6, 7, 8]
+
+
 # --- 9 line templates
 
 

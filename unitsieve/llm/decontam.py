@@ -33,20 +33,27 @@ EPS = 1e-9
 BLOCK = 4
 #: Items of one index; more items make more indexes, each read against all documents.
 INDEX_ITEMS = 20_000
-#: Items with fewer words are no evidence and are left out.
+#: Of items with fewer words, question and answer must each stand whole in the passage.
 MIN_ITEM_WORDS = 8
 _CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+#: Characters of scripts without blanks between words, and their punctuation.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_WIDE_MARKS = re.compile("[\u3000-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def terms(text: str | None) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return text.lower().encode().translate(_CLEAN).split() if text else []
+    """Lower-case words without ASCII punctuation; in scripts without blanks, characters."""
+    if not text:
+        return []
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", _WIDE_MARKS.sub(" ", text))
+    return text.lower().encode().translate(_CLEAN).split()
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item: its last sentence is the answer; an item of
     one sentence ends with its answer, a fifth of its words."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if terms(s)]
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])", text.strip()) if terms(s)]
     if len(sentences) > 1:
         head, tail = terms(" ".join(sentences[:-1])), terms(sentences[-1])
         if len(head) >= SHINGLE:
@@ -76,7 +83,7 @@ class Index:
     """Items with their postings. ``items``: (item_id, text)."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        items = _by_likeness([i for i in items if len(terms(i[1])) >= MIN_ITEM_WORDS])
+        items = _by_likeness([i for i in items if terms(i[1])])
         self.ids = [i for i, _ in items]
         words = [terms(t) for _, t in items]
         self.longest = max(map(len, words), default=0)
@@ -175,9 +182,12 @@ class Index:
                 q, a = self.parts[item]
                 share = []
                 sizes = []
+                short = len(q) + len(a) < MIN_ITEM_WORDS
                 for part in (q, a):
                     want = shingles(part)
-                    if part and len(part) < SHINGLE:
+                    if not part:  # the question of an item of one term
+                        share.append(1.0)
+                    elif short or len(part) < SHINGLE:
                         flat, probe = b" " + b" ".join(words[lo:hi]) + b" ", b" " + b" ".join(part) + b" "
                         share.append(float(probe in flat))
                     else:

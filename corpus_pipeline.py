@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from unitsieve.llm.alike import drop_alike
 from unitsieve.llm.common import materialize, table
 from unitsieve.llm.decontam import drop_contaminated
 from unitsieve.llm.line_templates import drop_template_lines
@@ -25,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_alike(materialize(drop_near_duplicates(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,34 @@ def test_pipeline_by_hand(spark):
     assert {50, 60, 70}.isdisjoint(got) and all("Banner" not in r["text"] and r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_near_copies_by_brute_force(spark):
+    """Of two documents with a five-word likeness of 0.8 or more one goes; others stay."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(120)]
+        rows.append((2 * g, " ".join(base), "en", "s", 0))
+        for at in ([30, 60] if g % 2 else range(6, 120, 12)):
+            base[at] = word()
+        rows.append((2 * g + 1, " ".join(base), "en", "s", 0))
+    rows += [(1000 + i, rows[1][1], "en", "s", 0) for i in range(50)]
+    rows += [(None, "no id", "en", "s", 0), (2000, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    kept = {r["doc_id"]: r["text"] for r in out}
+
+    def sets(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    held = [sets(t) for t in kept.values() if t]
+    assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(held) for b in held[:k])
+    assert {None, 2000} <= set(kept) and all({2 * g} <= set(kept) and (2 * g + 1 in kept) == (g % 2 == 0) for g in range(60))
+
+
 def test_entry_without_llm(tmp_path):
     """The entry still imports when the folders are gone."""
     import pathlib

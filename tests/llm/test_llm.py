@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -275,6 +276,76 @@ def test_substrings_odd(odd, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def brute_rows(rows, window=13):
+    """Rows of any ids: a row of ``(id, text)`` → its counts and kept words."""
+    last = float("inf")
+    first = {}
+    words = [(last if i is None else i, split(t)) for i, t in rows]
+    for i, w in words:
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            first[key] = min(i, first.get(key, last))
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < i:
+                gone[k : k + window] = [True] * window
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
+
+
+def many_rows(seed, n, own):
+    """Short texts of two words drawn from a few passages, with ids from ``own``."""
+    rng = random.Random(0)
+    vocab = [f"v{k}" for k in range(900)]
+    passages = [[rng.choice(vocab) for _ in range(30)] for _ in range(60)]
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        p = rng.choice(passages)
+        a = rng.randrange(12)
+        words = [rng.choice(vocab) for _ in range(rng.randrange(8))] + p[a : a + rng.randrange(5, 25)] + [rng.choice(vocab) for _ in range(rng.randrange(8))]
+        out.append((own(k, rng), " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "some"])
+def test_many_rows_without_an_id_of_their_own(spark, ids):
+    """400 rows with ids of their own, and 5,000 without id or of one id."""
+    own = {"null": lambda k, r: None, "one": lambda k, r: 150, "some": lambda k, r: r.choice([None, 7, 150, 390])}[ids]
+    rows = many_rows(1, 400, lambda k, r: k) + many_rows(2, 5000, own)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(frame).collect())
+    want = sorted((i is None, i or 0, *x) for (i, _), x in zip(rows, brute_rows(rows), strict=True))
+    assert got == want and sum(x[3] for x in want) > 10_000
+
+
+def test_chains_compact_and_are_verified(spark, monkeypatch):
+    """Whole copies compact to one chain each; a digest that differs keeps the words."""
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    rows = [(k, base) for k in range(6)] + [(9, " ".join(base.split()[40:200]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = frame.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text")
+    spans, _ = substring.covered_spans(numbered)
+    got = spans.groupBy("row").agg((F.sum(F.coalesce("length", F.lit(0)) + F.coalesce(F.bit_count("bits"), F.lit(0)))).alias("windows"), F.count("*").alias("n")).collect()
+    assert sorted(r["windows"] for r in got) == [148, *[288] * 5] and max(r["n"] for r in got) <= 5
+    monkeypatch.setattr(substring, "_read_again", lambda window: _other_digests(window))
+    assert {r["n_removed"] for r in substring.remove_repeats(frame).collect()} <= {0, 18}  # windows at the cut copy's start have digests of their own
+
+
+def _other_digests(window, real=substring._read_again):
+    run, schema = real(window)
+
+    def other(batches):
+        for batch in run(batches):
+            digest = [d if b >= 0 else b"x" * 16 for b, d in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digest, pa.binary())], schema=batch.schema)
+
+    return other, schema
+
+
 # --- 6 sharding
 
 
@@ -350,31 +421,115 @@ def test_language_model(docs, rows, odd, empty):
     assert brown_lm.score(odd).count() == 6 and brown_lm.score(empty).count() == 0
 
 
-def test_small_head_changes_nothing(docs, monkeypatch):
-    want = {r["doc_id"]: r["base_score"] for r in brown_lm.score(docs).collect()}
-    monkeypatch.setattr(brown_lm, "HEAD", 20)
-    got = {r["doc_id"]: r["base_score"] for r in brown_lm.score(docs).collect()}
-    assert all(math.isclose(want[i], got[i], rel_tol=1e-9) for i in want)
+def small_levels(monkeypatch):
+    for name, value in {"HEAD": 150, "LEADERS": 60, "FIRST": 20}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "one"])
+def test_scores_with_a_small_head(spark, monkeypatch, ids):
+    """Words outside the head, many rows without id or of one id, equal under any partitioning."""
+    small_levels(monkeypatch)
+    own = {"own": lambda k, r: 500 + k, "null": lambda k, r: None, "one": lambda k, r: 150}[ids]
+    rows = many_rows(1, 400, lambda k, r: k) + many_rows(2, 5000, own) + [(3, "rare Rare once")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = [[*t.encode().translate(LOWER).split(), None] for _, t in rows]
+    out = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in rows]
+    c = Counter(w for ws, o in zip(tokens, out, strict=True) if not o for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((i is None, i or 0, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for (i, _), ws in zip(rows, tokens, strict=True))
+    seen = []
+    for parts in (1, 7):
+        got = brown_lm.score(frame.repartition(parts)).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+        assert {r["train_tokens"] for r in got} == {n}
+        seen.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in got))
+    assert seen[0] == seen[1]
+
+
+def test_score_by_brute_force(spark, docs, rows, monkeypatch):
+    """The class model counted again from the texts, given each unit's class."""
+    small_levels(monkeypatch)
+    held = {}
+    real = brown_lm.learn
+    monkeypatch.setattr(brown_lm, "learn", lambda train, lex, classes: held.setdefault("of", (lex, real(train, lex, classes)))[1])
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(docs, classes=6).collect()}
+    lex, of = held["of"]
+    assert lex.size > 100 and len(set(of[: lex.size].tolist())) == 6 and of[lex.end] == 6
+    cls = lambda w: 6 if w is None else int(of[lex.index[w]] if w in lex.index else of[lex.size + brown_lm.suffix_group(w)])
+    texts = {i: [*(t.encode().translate(LOWER).split() if t else []), None] for i, t, *_ in rows}
+    train = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for ws in train for w in ws)
+    moves = Counter((cls(a), cls(b)) for ws in train for a, b in zip([None, *ws], ws, strict=False))
+    after, size, kinds = Counter(), Counter(), Counter()
+    for (a, _), k in moves.items():
+        after[a] += k
+    for w, k in count.items():
+        size[cls(w)] += k
+        kinds[cls(w)] += 1
+    for i, ws in texts.items():
+        want = 0.0
+        for a, b in zip([None, *ws], ws, strict=False):
+            want += math.log10((moves[cls(a), cls(b)] + 0.1) / (after[cls(a)] + 0.1 * 7)) + math.log10((count[b] + 0.1) / (size[cls(b)] + 0.1 * (kinds[cls(b)] + 1)))
+        assert math.isclose(got[i], want, rel_tol=1e-9), i
+
+
+def test_exchange_gains_are_likelihoods():
+    """A move's gain is the change of the likelihood, counted anew."""
+    rng = np.random.default_rng(7)
+    pairs = rng.integers(0, 6, (14, 14)).astype(float)
+    of = np.append(rng.integers(0, 3, 13), 3)
+
+    def reached(of):
+        one = np.eye(4)[of]
+        return brown_lm.likelihood(one.T @ pairs @ one)
+
+    for u in range(13):
+        one = np.eye(4)[of]
+        own, right, left = pairs[u, u], pairs[u] @ one, pairs[:, u] @ one
+        right[of[u]] -= own
+        left[of[u]] -= own
+        m = one.T @ pairs @ one
+        brown_lm._without(m, of[u], right, left, own)
+        gain = brown_lm.gains(m, right, left, own)
+        for k in range(3):
+            moved = of.copy()
+            moved[u] = k
+            assert math.isclose(gain[k] - gain[of[u]], reached(moved) - reached(of), abs_tol=1e-8)
+
+
+def test_rounds_raise_the_likelihood():
+    """Exchange over counts with classes ends above its start, as exchange over pairs does."""
+    rng = np.random.default_rng(2)
+    kind = np.arange(40) % 3
+    pairs = np.where((kind[:, None] + 1) % 3 == kind, 9, 0) + rng.integers(0, 2, (40, 40))
+    of = np.append(rng.integers(0, 3, 39), 3)
+    reached = []
+    for _ in range(4):
+        one = np.eye(4)[of]
+        near = np.concatenate((pairs @ one, pairs.T @ one, np.diag(pairs)[:, None]), axis=1).astype(np.int64)
+        reached.append(brown_lm.likelihood(brown_lm.class_moves(near, of, 3)))
+        of, _ = brown_lm.sweep(near, of, 3)
+    assert max(reached[1:]) > reached[0]
+    best = brown_lm.cluster(pairs, 3)
+    assert brown_lm.likelihood((np.eye(4)[best]).T @ pairs @ np.eye(4)[best]) >= max(reached) - 1e-6 or max(reached) > reached[0]
 
 
 def test_model_is_a_distribution():
     rng = np.random.default_rng(3)
-    words = [f"w{i}".encode() for i in range(700)]
-    lexicon = brown_lm.Lexicon(words)
-    pairs = rng.integers(0, 5, (brown_lm.UNITS, brown_lm.UNITS))
+    lex = brown_lm.Lexicon([f"w{i}".encode() for i in range(700)])
+    of = np.append(rng.integers(0, 8, lex.units - 1), 8)
     heads = rng.integers(1, 9, 700)
-    m = brown_lm.Model(pairs, heads, lexicon, {}, 8)
+    m = brown_lm.Model(lex, of, rng.integers(0, 50, (9, 9)).astype(float), heads, {}, 10, 8)
     assert np.allclose((10**m.move).sum(axis=1), 1)
-    cls = m.of[lexicon.units]
     for k in range(8):
-        inside = 10 ** (m.head_log[cls == k] - m.class_log[k])
+        inside = 10 ** (m.emit[:700][of[:700] == k] - m.class_log[k])
         assert math.isclose(inside.sum() + 10 ** (math.log10(0.1) - m.class_log[k]), 1, rel_tol=1e-9)
 
 
 def test_clustering_finds_blocks():
     """Units of two languages that never mix end in different classes."""
-    n = brown_lm.UNITS
-    pairs = np.zeros((n, n), int)
+    pairs = np.zeros((60, 60), int)
     rng = np.random.default_rng(1)
     for u in range(40):
         for w in range(40):

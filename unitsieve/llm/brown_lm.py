@@ -1,16 +1,22 @@
 """Brown class-based bigram language model.
 
 Words belong to classes; ``P(w | v) = P(class(w) | class(v)) * P(w | class(w))``.
-Classes come from exchange clustering: one unit at a time moves to the class that
-raises the likelihood of the corpus most. Units are the most frequent words
-(``LEADERS``) and, for all other words, ``SUFFIXES`` groups by word ending, so
-every word of any corpus has a class and the matrix that the driver clusters has a
-fixed size; its counts are taken over the whole training part.
-
-Word counts cover the whole training part too. Frequent words (at most ``HEAD``,
-found by local counts: a word with a share of 1/``LOCAL`` anywhere is a candidate)
-are looked up in a broadcast table of that size; occurrences of all others meet
-their counts in one shuffle by word, where no word can be frequent.
+Classes come from exchange clustering: one word at a time moves to the class that
+raises the likelihood of the corpus most. All ``HEAD`` most frequent words are
+clustered, in three steps of growing width and falling cost for each word:
+
+1. the ``FIRST`` leading words and, for all others, groups by word ending, exactly,
+   over their matrix of bigram counts;
+2. the ``LEADERS`` leading words, over the counts of each word with each class next
+   to it, taken anew from the whole training part in every round;
+3. the rest of the head, each word by one exchange over such counts, in the tasks
+   that add them up.
+
+Words outside the head share the classes of their endings. What reaches the driver
+is bounded by ``HEAD`` words and by words times classes, at any input size; word
+counts, and the counts that the classes are learned from, cover the whole training
+part. The counts of words outside the head stay in a table and meet the documents in
+a join by word; no such word can be frequent, as the head has all that are.
 """
 
 from __future__ import annotations
@@ -18,27 +24,28 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered, release
 
 HEAD = 131_072
-LOCAL = 20_000
-LEADERS = 512
+LEADERS = 16_384
+FIRST = 1_024
 SUFFIXES = 511
 CLASSES = 32
-#: Units: leaders, suffix groups, and the end token with a class of its own.
-UNITS = LEADERS + SUFFIXES + 1
-END_UNIT = UNITS - 1
+ROUNDS = 6
 DELTA = 0.1
+#: Cells of one block when tasks add up their counts.
+BLOCK = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SEGMENT = 2_000_000
+#: Words counted, and tokens gathered, before a task passes its counts on.
+_SEGMENT = 4_000_000
+_FLUSH = 1_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -51,38 +58,49 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 10 == 0
 
 
-def suffix_unit(word: bytes) -> int:
-    return LEADERS + zlib.crc32(word.rstrip(b".,;:!?\"')")[-3:]) % SUFFIXES
+def suffix_group(word: bytes) -> int:
+    return zlib.crc32(word.rstrip(b".,;:!?\"')")[-3:]) % SUFFIXES
 
 
 class Lexicon:
-    """The frequent words, their units, and those of any other word."""
+    """The head, most frequent word first. A unit is a head word's place, then a
+    suffix group (for words outside the head), then the end token."""
 
     def __init__(self, head: list[bytes]) -> None:
         self.index = {w: i for i, w in enumerate(head)}
-        self.units = np.array([i if i < LEADERS else suffix_unit(w) for i, w in enumerate(head)] or [0], np.int64)
+        self.size = len(head)
+        self.units = self.size + SUFFIXES + 1
+        self.end = self.units - 1
+        self.groups = np.array([suffix_group(w) for w in head], np.int64)
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the head (-1: none) and units of words."""
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, Counter[bytes]]:
+        """The units of words, and those outside the head with their counts."""
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        units = self.units[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            units[i] = suffix_unit(words[i])
-        return at, units
+        at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        out = np.flatnonzero(at < 0).tolist()
+        others = Counter(words[i] for i in out)
+        unit = {w: self.size + suffix_group(w) for w in others}
+        for i in out:
+            at[i] = unit[words[i]]
+        return at, others
 
+    def level(self, leading: int) -> np.ndarray:
+        """For each unit its number where only ``leading`` words stand for themselves."""
+        leading = min(leading, self.size)
+        own = np.arange(self.size)
+        return np.concatenate((np.where(own < leading, own, leading + self.groups), leading + np.arange(SUFFIXES + 1))).astype(np.int64)
 
-def frequent_words(train: DataFrame) -> list[bytes]:
-    """At most ``HEAD`` words by count among those frequent somewhere."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """``word, n, suffix`` of every word of ``train(text)``, with local counts first."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("suffix", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         held = 0
 
-        def frequent() -> pa.RecordBatch:
-            found = [(w, n) for w, n in counts.items() if n * LOCAL >= held]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], schema=schema)
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([suffix_group(w) for w in counts], pa.int32())], schema=schema)
 
         for batch in batches:
             for t in batch.column(0):
@@ -90,85 +108,182 @@ def frequent_words(train: DataFrame) -> list[bytes]:
                 counts.update(words)
                 held += len(words)
                 if held > _SEGMENT:
-                    yield frequent()
+                    yield found()
                     counts.clear()
                     held = 0
-        yield frequent()
+        yield found()
+
+    return train.select("text").mapInArrow(run, "word binary, n long, suffix int").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix"))
 
-    top = train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD)
-    return [bytes(r["word"]) for r in top.collect()]
 
+def head_of(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words and their counts, at most ``most``: all words of a
+    count or none, where counts beyond 64 are told apart to about two parts in a
+    hundred. So the table of counts on the driver is bounded."""
+    scale = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 32)).cast("long")
+    kinds = {r["s"]: r["words"] for r in vocabulary.groupBy(scale.alias("s")).agg(F.count("*").alias("words")).collect()}
+    held, least = 0, None
+    for s in sorted(kinds, reverse=True):
+        if held + kinds[s] > most:
+            break
+        held, least = held + kinds[s], s
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    rows = vocabulary.where(scale >= least).select("word", "n").toArrow()
+    found = sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in found], np.array([n for _, n in found], np.int64)
 
-def _statistics(train: DataFrame, lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram counts of units and counts of head words; both of fixed size."""
-    schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("n", pa.int64())])
+
+def encoded_rows(rows: DataFrame, lexicon) -> DataFrame:
+    """``row, id, held_out, ids, others`` of ``rows(row, id, text)``: the units of a
+    text as 32-bit numbers, and the words outside the head with their counts."""
+    other = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("others", other)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
-        pairs = np.zeros(UNITS * UNITS, np.int64)
-        heads = np.zeros(len(lex.index) + 1, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                at, units = lex.read(tokens(t.as_py()))
-                heads += 0 if not len(at) else np.bincount(at + 1, minlength=len(heads)) if len(at) > 20_000 else _add(heads, at)
-                row = np.concatenate(([END_UNIT], units, [END_UNIT]))
-                np.add.at(pairs, row[:-1] * UNITS + row[1:], 1)
-        for kind, values in ((0, pairs), (1, heads[1:])):
-            some = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(values[some])], schema=schema)
+            ids, others = [], []
+            for t in batch.column(3):
+                at, found = lex.read(tokens(t.as_py()))
+                ids.append(at.tobytes())
+                others.append([{"word": w, "n": n} for w, n in found.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(others, other)], schema=schema)
+
+    return rows.select("row", "id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(run, "row long, id long, held_out boolean, ids binary, others array<struct<word:binary,n:long>>")
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """Units of many texts in one array, an end before, between and after them."""
+    mark = np.array([end], np.int32).tobytes()
+    parts: list[bytes] = []
+    held = 0
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            parts += (mark, x)
+            held += len(x) + 4
+            if held > 4 * _FLUSH:
+                yield np.frombuffer(b"".join([*parts, mark]), np.int32).astype(np.int64)
+                parts, held = [], 0
+    if parts:
+        yield np.frombuffer(b"".join([*parts, mark]), np.int32).astype(np.int64)
+
+
+def _summed(train: DataFrame, end: int, cells: int, count: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``k, at, n``: the sum over all tasks of the array of ``cells`` counts that
+    ``count`` makes of a sequence, in blocks of ``BLOCK`` cells; only cells that are
+    not zero travel."""
+    schema = pa.schema([("k", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+
+    def rows(k: int, block: np.ndarray) -> tuple[int, bytes, bytes]:
+        some = np.flatnonzero(block)
+        return k, some.astype("<u2").tobytes(), block[some].astype("<i8").tobytes()
+
+    def table(found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in range(3)], schema=schema)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for sequence in _sequences(batches, end):
+            part = count(sequence)
+            total = part if total is None else total + part
+        if total is not None:
+            yield table([rows(k, total[a : a + BLOCK]) for k, a in enumerate(range(0, cells, BLOCK)) if total[a : a + BLOCK].any()])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(k, np.zeros(BLOCK, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        yield table([rows(k, block) for k, block in sums.items()])
+
+    names = "k int, at binary, n binary"
+    return train.select("ids").mapInArrow(local, names).repartition("k").mapInArrow(merge, names)
+
+
+def _gather(blocks: DataFrame, cells: int) -> np.ndarray:
+    out = np.zeros(-(-cells // BLOCK) * BLOCK, np.int64)
+    for r in blocks.toArrow().to_pylist():
+        out[r["k"] * BLOCK + np.frombuffer(r["at"], "<u2").astype(np.int64)] = np.frombuffer(r["n"], "<i8")
+    return out[:cells]
+
+
+def pair_counts(train: DataFrame, level: np.ndarray, end: int) -> np.ndarray:
+    """Bigram counts of the units that ``level`` maps to (all of them, as a matrix)."""
+    n = int(level.max()) + 1
+
+    def count(sequence: np.ndarray) -> np.ndarray:
+        s = level[sequence]
+        return np.bincount(s[:-1] * n + s[1:], minlength=n * n)
+
+    return _gather(_summed(train, end, n * n, count), n * n).reshape(n, n)
+
+
+def _neighbours(start: np.ndarray, of: np.ndarray, cells: int, classes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Counts, for each unit, of the classes after it, of those before it, and of
+    itself after itself, in cells from ``start[unit]`` on (below 0: passed over)."""
+
+    def count(sequence: np.ndarray) -> np.ndarray:
+        at, c = start[sequence], of[sequence]
+        left, right = at[:-1], at[1:]
+        same = left[(left == right) & (left >= 0)] + 2 * classes
+        after, before = (left + c[1:])[left >= 0], (right + classes + c[:-1])[right >= 0]
+        return np.bincount(np.concatenate((after, before, same)), minlength=cells)
+
+    return count
+
 
-    rows = train.select("text").mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
-    pairs, heads = np.zeros(UNITS * UNITS, np.int64), np.zeros(max(1, len(lexicon.value.index)), np.int64)
-    for r in rows:
-        (heads if r["kind"] else pairs)[r["at"]] = r["n"]
-    return pairs.reshape(UNITS, UNITS), heads
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
 
 
-def _add(heads: np.ndarray, at: np.ndarray) -> int:
-    np.add.at(heads, at + 1, 1)
-    return 0
+def likelihood(m: np.ndarray) -> float:
+    """What the classes add to the log likelihood, from class bigram counts."""
+    return float(_f(m).sum() - _f(m.sum(axis=1)).sum() - _f(m.sum(axis=0)).sum())
+
+
+def gains(m: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np.ndarray:
+    """What :func:`likelihood` gains when a unit joins each class. ``m`` is without the
+    unit; ``right`` and ``left`` are its counts with the classes after and before it,
+    without itself, and ``own`` those of itself after itself."""
+    rows, cols = m.sum(axis=1), m.sum(axis=0)
+    fm = _f(m)
+    gain = (_f(m + right) - fm).sum(axis=1) + (_f(m + left[:, None]) - fm).sum(axis=0)
+    d = np.diag(m)
+    gain += _f(d + right + left + own) - _f(d + right) - _f(d + left) + _f(d)
+    return gain - (_f(rows + right.sum() + own) - _f(rows) + _f(cols + left.sum() + own) - _f(cols))
+
+
+def _without(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own: float, sign: int = -1) -> None:
+    m[a, :] += sign * right
+    m[:, a] += sign * left
+    m[a, a] += sign * own
 
 
 def cluster(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """Exchange clustering of units: the class of each; the last unit keeps class
-    ``classes`` to itself. Starts from units dealt out by frequency; ties go to the
-    class with the smaller number."""
+    """Exchange clustering over all bigram counts: the class of each unit; the last
+    unit keeps class ``classes`` to itself. Starts from units dealt out by frequency;
+    ties go to the class with the smaller number."""
     n = len(pairs)
     pairs = pairs.astype(float)
     freq = pairs.sum(axis=1)
-    order = sorted(range(n - 1), key=lambda u: (-freq[u], u))
+    order = [u for u in sorted(range(n - 1), key=lambda u: (-freq[u], u)) if freq[u] or pairs[:, u].any()]
     of = np.zeros(n, np.int64)
-    for rank, u in enumerate(order):
-        of[u] = rank % classes
+    of[order] = np.arange(len(order)) % classes
     of[n - 1] = classes
-    one = np.zeros((n, classes + 1))
-    one[np.arange(n), of] = 1
-    f = lambda x: x * np.log(np.maximum(x, 1.0))
-    m = one.T @ pairs @ one
     for _ in range(rounds):
+        one = np.zeros((n, classes + 1))
+        one[np.arange(n), of] = 1
+        m = one.T @ pairs @ one
         moved = 0
         for u in order:
-            if not freq[u] and not pairs[:, u].any():
-                continue
-            a, own = of[u], pairs[u, u]
+            a, own = int(of[u]), pairs[u, u]
             right, left = pairs[u] @ one, pairs[:, u] @ one
             right[a] -= own
             left[a] -= own
-            m[a, :] -= right
-            m[:, a] -= left
-            m[a, a] -= own
-            rows, cols = m.sum(axis=1), m.sum(axis=0)
-            fm = f(m)
-            gain = (f(m + right) - fm).sum(axis=1) + (f(m + left[:, None]) - fm).sum(axis=0)
-            d = np.diag(m)
-            gain += f(d + right + left + own) - f(d + right) - f(d + left) + f(d)
-            gain -= f(rows + right.sum() + own) - f(rows) + f(cols + left.sum() + own) - f(cols)
-            b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
-            m[b, :] += right
-            m[:, b] += left
-            m[b, b] += own
+            _without(m, a, right, left, own)
+            b = _best(m, a, right, left, own, classes)
+            _without(m, b, right, left, own, 1)
             if b != a:
                 one[u, a], one[u, b], of[u] = 0, 1, b
                 moved += 1
@@ -177,103 +292,187 @@ def cluster(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.n
     return of
 
 
+def _best(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own: float, classes: int) -> int:
+    gain = gains(m, right, left, own)
+    b = int(np.argmax(gain[:classes]))
+    return a if gain[b] <= gain[a] + 1e-9 else b
+
+
+def class_moves(near: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigram counts from the counts of units with classes."""
+    m = np.zeros((classes + 1, classes + 1))
+    np.add.at(m, of, near[:, : classes + 1])
+    return m
+
+
+def sweep(near: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, int]:
+    """One round of exchange over counts of units with classes, as taken before the
+    round; class bigram counts follow each move. The last unit stays."""
+    of, width = of.copy(), classes + 1
+    m = class_moves(near, of, classes)
+    freq = near[:, :width].sum(axis=1)
+    moved = 0
+    for u in sorted(np.flatnonzero(freq[:-1]).tolist(), key=lambda u: (-freq[u], u)):
+        a, own = int(of[u]), float(near[u, 2 * width])
+        right, left = near[u, :width].astype(float), near[u, width : 2 * width].astype(float)
+        right[a] -= own
+        left[a] -= own
+        _without(m, a, right, left, own)
+        b = _best(m, a, right, left, own, classes)
+        _without(m, b, right, left, own, 1)
+        moved += b != a
+        of[u] = b
+    return of, moved
+
+
+def learn(train: DataFrame, lex: Lexicon, classes: int = CLASSES) -> np.ndarray:
+    """The class of every unit, from ``train(ids)``; the end token has its own."""
+    first = lex.level(FIRST)
+    of = cluster(pair_counts(train, first, lex.end), classes)[first]
+    if lex.size > FIRST:
+        of = _leaders(train, lex, of, classes)
+    if lex.size > LEADERS:
+        of = _rest(train, lex, of, classes)
+    return of
+
+
+def _leaders(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np.ndarray:
+    """Rounds of exchange of leading words and groups, until one gains nothing."""
+    level, width = lex.level(LEADERS), 2 * (classes + 1) + 1
+    n = int(level.max()) + 1
+    inside = np.zeros(n, np.int64)
+    inside[level] = of
+    best, kept = -math.inf, inside
+    for _ in range(ROUNDS):
+        near = _gather(_summed(train, lex.end, n * width, _neighbours(level * width, inside[level], n * width, classes + 1)), n * width).reshape(n, width)
+        reached = likelihood(class_moves(near, inside, classes))
+        if reached <= best:
+            break
+        best, kept = reached, inside
+        inside, moved = sweep(near, inside, classes)
+        if not moved:
+            break
+    return kept[level]
+
+
+def _rest(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np.ndarray:
+    """The classes of the head's words beyond ``LEADERS``, each by one exchange
+    against the class bigram counts of all others as they are."""
+    m, width = moves_of(train, lex, of, classes), 2 * (classes + 1) + 1
+    words = np.arange(lex.size - LEADERS)
+    in_block = BLOCK // width  # units of a block, whole ones only
+    start = np.full(lex.units, -1)
+    start[LEADERS : lex.size] = words // in_block * BLOCK + words % in_block * width
+    cells = (len(words) // in_block + 1) * BLOCK
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, found = [], []
+            for k, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = np.zeros(BLOCK)
+                block[np.frombuffer(at, "<u2")] = np.frombuffer(counts, "<i8")
+                for j, near in enumerate(block[: in_block * width].reshape(in_block, width)):
+                    if near.any():
+                        u = LEADERS + k * in_block + j
+                        a, right, left, own = int(of[u]), near[: classes + 1], near[classes + 1 : -1], near[-1]
+                        right[a] -= own
+                        left[a] -= own
+                        others = m.copy()
+                        _without(others, a, right, left, own)
+                        units.append(u)
+                        found.append(_best(others, a, right, left, own, classes))
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(found, pa.int32())], names=["unit", "class"])
+
+    out = of.copy()
+    chosen = _summed(train, lex.end, cells, _neighbours(start, of, cells, classes + 1)).mapInArrow(choose, "unit int, class int").toArrow()
+    out[chosen["unit"].to_numpy()] = chosen["class"].to_numpy()
+    return out
+
+
+def moves_of(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigram counts of the whole training part."""
+    return pair_counts(train, of, lex.end).astype(float)
+
+
 class Model:
-    """Everything but the rare words' counts, in tables of fixed size."""
+    """Everything but the counts of words outside the head, in tables of fixed size."""
 
-    def __init__(self, pairs: np.ndarray, heads: np.ndarray, lexicon: Lexicon, rare: dict[int, tuple[int, int]], classes: int = CLASSES) -> None:
-        self.of = cluster(pairs, classes)
+    def __init__(self, lex: Lexicon, of: np.ndarray, moves: np.ndarray, heads: np.ndarray, others: dict[int, tuple[int, int]], ends: int, classes: int = CLASSES) -> None:
         c = classes + 1
-        one = np.zeros((UNITS, c))
-        one[np.arange(UNITS), self.of] = 1
-        moves = one.T @ pairs @ one
+        self.of, self.ends = of, ends
         self.move = np.log10(moves + DELTA) - np.log10(moves.sum(axis=1, keepdims=True) + DELTA * c)
         size, kinds = np.zeros(c), np.zeros(c)
-        used = heads[: len(lexicon.index)]
-        np.add.at(size, self.of[lexicon.units[: len(used)]], used)
-        np.add.at(kinds, self.of[lexicon.units[: len(used)]], used > 0)
-        for unit, (words, count) in rare.items():
-            kinds[self.of[unit]] += words
-            size[self.of[unit]] += count
-        self.ends = int(pairs[:, END_UNIT].sum())
-        size[classes] += self.ends
-        kinds[classes] += self.ends > 0
+        np.add.at(size, of[: lex.size], heads)
+        np.add.at(kinds, of[: lex.size], 1)
+        for group, (words, count) in others.items():
+            kinds[of[lex.size + group]] += words
+            size[of[lex.size + group]] += count
+        size[classes] += ends
+        kinds[classes] += ends > 0
         self.n, self.v = int(size.sum()), int(kinds.sum())
         self.class_log = np.log10(size + DELTA * (kinds + 1))
-        self.head_log = np.log10(used + DELTA)
-        self.end_log = math.log10(self.ends + DELTA)
+        #: By unit: what is emitted here (0 for words outside the head, which a join adds).
+        self.emit = np.concatenate((np.log10(heads + DELTA), np.zeros(SUFFIXES), [math.log10(ends + DELTA)]))
+        self.known = np.concatenate((np.ones(lex.size, np.int64), np.zeros(SUFFIXES, np.int64), [int(ends > 0)]))
         self.base_log = math.log10(self.n + DELTA * (self.v + 1))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; a row
     per input row, scores in log10.
 
-    Null and empty texts are one end token. Repeated rows count as often as they
-    occur. Without training rows every token is unknown. Further columns are
-    ignored; an empty table gives an empty result. Rare words are told apart by 64
-    bits of XXH64.
+    Null and empty texts are one end token. Rows are told apart by a number of their
+    own, so rows without id, rows of one id and repeated rows are each scored and
+    each count as often as they occur. Without training rows every token is unknown.
+    Further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = plain.where(~held_out(F.col("id")))
-    lexicon = spark.sparkContext.broadcast(Lexicon(frequent_words(train)))
-    pairs, heads = _statistics(train, lexicon)
-
-    rare_schema = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("info", pa.int64())])
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon.value.index
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            word, doc, info = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py() or ""
-                found = Counter(w for w in tokens(t) if w not in known)
-                if found:
-                    mark = (xxhash.xxh64_intdigest(t.encode(), 9) & 0x7FFF) << 42
-                    word += [digest(w) for w in found]
-                    doc += [i] * len(found)
-                    info += [mark | suffix_unit(w) << 32 | n for w, n in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(word, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(info, pa.int64())], schema=rare_schema)
-
-    rows = plain.mapInArrow(rare_words, "word long, id long, info long").select("word", "id", F.shiftright("info", 42).cast("int").alias("mark"), F.shiftright("info", 32).bitwiseAND(F.lit(1023)).cast("int").alias("unit"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"))
-    by_word = Window.partitionBy("word")
-    rows = rows.withColumn("c", F.sum(F.when(held_out(F.col("id")), F.lit(0)).otherwise(F.col("n"))).over(by_word)).withColumn("lead", F.row_number().over(by_word.orderBy("id", "mark")) == 1)
-    rows = materialize(rows.drop("word"))
-    units = {r["unit"]: (r["words"], r["count"]) for r in rows.where("lead and c > 0").groupBy("unit").agg(F.count("*").alias("words"), F.sum("c").alias("count")).collect()}
-    rare = rows.groupBy("id", "mark").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(DELTA))).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known")).withColumnRenamed("id", "rid").withColumnRenamed("mark", "rmark")
-    model = spark.sparkContext.broadcast(Model(pairs, heads, lexicon.value, units))
-
-    names = "id long, mark int, n_tokens long, head_known long, base double, own double"
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int32()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
+    rows = numbered(docs, id_col, text_col)
+    vocabulary = materialize(word_counts(rows.where(~held_out(F.col("id")))))
+    head, heads = head_of(vocabulary, HEAD)
+    lex = Lexicon(head)
+    lexicon = spark.sparkContext.broadcast(lex)
+    encoded = materialize(encoded_rows(rows, lexicon))
+    release(rows)
+    train = encoded.where("not held_out")
+    of = learn(train, lex, classes)
+    moves = moves_of(train, lex, of, classes)
+    least = int(heads[-1]) if len(heads) else None
+    outside = vocabulary.where(F.lit(True) if least is None else F.col("n") < least)
+    others = {r["suffix"]: (r["words"], r["count"]) for r in outside.groupBy("suffix").agg(F.count("*").alias("words"), F.sum("n").alias("count")).collect()}
+    model = spark.sparkContext.broadcast(Model(lex, of, moves, heads, others, train.count(), classes))
+
+    rare = encoded.select("row", F.explode("others").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
+    count = F.coalesce("n", F.lit(0))
+    rare = rare.join(outside.select("word", "n"), "word", "left").groupBy(F.col("row").alias("rare_row")).agg(F.sum(F.col("times") * F.log10(count + F.lit(DELTA))).alias("rare_log"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    rare = materialize(rare)
+
+    names = "row long, id long, held_out boolean, n_tokens long, head_known long, base double, own double"
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, m = lexicon.value, model.value
-        end_class = m.of[END_UNIT]
+        m = model.value
+        end = len(m.of) - 1
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                t = t.as_py() or ""
-                at, units = lex.read(tokens(t))
-                row = np.concatenate(([end_class], m.of[units], [end_class]))
-                heads = at[at >= 0]
-                emitted = float(m.head_log[heads].sum()) + m.end_log
-                n = len(at) + 1
-                own = emitted - float(m.class_log[row[1:]].sum()) + float(m.move[row[:-1], row[1:]].sum())
-                out.append((xxhash.xxh64_intdigest(t.encode(), 9) & 0x7FFF, n, len(heads) + (m.ends > 0), emitted - n * m.base_log, own))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
-
-    scored = plain.mapInArrow(local, names).withColumn("copies", F.count("*").over(Window.partitionBy("id", "mark")))
-    joined = scored.join(rare, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")), "left")
-    rare_log = F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0))
-    rare_known = F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))
+            out: list[tuple] = []
+            for raw in batch.column(3).to_pylist():
+                units = np.concatenate(([end], np.frombuffer(raw, np.int32), [end]))
+                c = m.of[units]
+                said = float(m.emit[units[1:]].sum())
+                n = len(units) - 1
+                own = said - float(m.class_log[c[1:]].sum()) + float(m.move[c[:-1], c[1:]].sum())
+                out.append((n, int(m.known[units[1:]].sum()), said - n * m.base_log, own))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[3:], strict=True)]], schema=schema)
+
+    scored = encoded.select("row", "id", "held_out", "ids").mapInArrow(local, names)
+    joined = scored.join(rare, F.col("row") == F.col("rare_row"), "left")
     return joined.select(
         F.col("id").alias(id_col),
-        held_out(F.col("id")).alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("head_known") + rare_known).alias("n_known"),
+        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.value.n).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_log).alias("base_score"),
-        (F.col("own") + rare_log).alias("score"),
+        (F.col("base") + F.coalesce("rare_log", F.lit(0.0))).alias("base_score"),
+        (F.col("own") + F.coalesce("rare_log", F.lit(0.0))).alias("score"),
     )

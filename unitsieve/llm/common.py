@@ -32,26 +32,55 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Removes the shuffle files of a job once its result is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back."""
+    """Write ``df`` as Parquet in the shared scratch folder and read it back. What was
+    shuffled on the way is not needed after that and is removed."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/unitsieve/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = (spark, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialize` wrote and no later step reads."""
+    for df in tables:
+        _written.remove(df._scratch)
+        _delete(*df._scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; the folder is scratch space
             return
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, id, text`` written once: ``row`` is a number of its own for every row,
+    whatever its id and text, and stays the same for all that read the table."""
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return materialize(plain)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text. ``bytes.split`` breaks at exactly the six
     ASCII white-space characters of ``WORD_PATTERN``."""

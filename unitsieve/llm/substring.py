@@ -1,33 +1,38 @@
 """Removal of long repeated word spans by De Bruijn compaction.
 
-The windows of ``WINDOW`` words are the edges of a De Bruijn graph over shorter
-word sequences. They are compacted before any shuffle: consecutive windows that
-share a minimiser (the least hash among the ``KMER``-word sequences of a window)
-form one path, of at most ``PATH`` windows. Equal windows have equal minimisers,
-so all further work joins paths by minimiser:
+The windows of ``WINDOW`` words are the edges of a De Bruijn graph whose nodes are the
+word sequences between them. Before any shuffle, consecutive windows of a document that
+share a minimiser (the least hash among the ``KMER``-word sequences of a window) are
+taken as one path of at most ``PATH`` windows. Equal windows have equal minimisers, so
+all further work joins paths by minimiser:
 
 1. minimisers met in one document only are out;
-2. equal paths are merged to one, with the coordinates (document, position) of the
-   first document that has it; the path repeats in full in every later document;
-3. where different paths share a minimiser, their windows are read again from the
-   text at those coordinates and compared one by one.
-
-Windows and paths are told apart by two independent 64-bit hashes together. The
-tables that travel hold a row for a path, not for a window, and only sums, minima
-and joins whose hot keys Spark splits; texts are shuffled once, by document.
+2. equal paths are one node of the compacted graph, with the coordinates (row,
+   position) of the first document that has it and with its degrees: how many different
+   paths precede and follow it. Two nodes are linked if the first is followed by nothing
+   but the second and the second preceded by nothing but the first; chains of linked
+   nodes compact to one span. Every occurrence of a node goes through its whole chain;
+3. at its source coordinates the text is read again. A chain gives a digest of all its
+   words; where different paths share a minimiser, each of their windows gives a digest
+   of its own, and those that also start in an earlier document are found by a join;
+4. a document loses a chain only if its own words at that place have the chain's digest.
+
+Digests have 128 bits. The tables that travel hold a row for a path, not for a window.
+Rows of the input are told apart by a number given when they are first written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, numbered, release
 
 WINDOW = 13
 KMER = 5
@@ -35,6 +40,7 @@ PATH = 32
 _CHUNK = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Stands for a missing id: later than all others.
 _LAST = (1 << 63) - 1
 
 
@@ -90,102 +96,154 @@ class Spans:
         return self.doc[at[head]], at[head], size, key[head]
 
 
-def _mark(text: str) -> int:
-    """A few bits of the text, to tell rows of one id with different texts apart."""
-    return xxhash.xxh64_intdigest(text.encode(), 9) & 0x7FFF
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts, about ``_CHUNK`` words at once."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """Rows, ids and words, about ``_CHUNK`` words at once."""
+    rows: list[int] = []
     ids: list[int] = []
-    texts: list[str] = []
+    docs: list[list[bytes]] = []
     held = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = t.as_py() or ""
+        for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = (t.as_py() or "").encode().split()
+            rows.append(r)
             ids.append(_LAST if i is None else i)
-            texts.append(t)
-            held += len(t)
-            if held > 6 * _CHUNK:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+            docs.append(words)
+            held += len(words)
+            if held > _CHUNK:
+                yield np.array(rows, np.int64), np.array(ids, np.int64), docs
+                rows, ids, docs, held = [], [], [], 0
+    if rows:
+        yield np.array(rows, np.int64), np.array(ids, np.int64), docs
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def all_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, most: int = PATH, keys_only: bool = False) -> DataFrame:
-    """``(mh, doc, spot, ch)`` of every path of ``docs(id, text)``; ``spot`` packs the
-    text's mark, the position and the number of windows less one. ``keys_only``:
-    ``(mh, doc)``."""
-    names = ["mh", "doc"] if keys_only else ["mh", "doc", "spot", "ch"]
+def minimisers(rows: DataFrame, window: int, kmer: int, most: int) -> DataFrame:
+    """``(mh, n)``: minimisers of ``rows(row, id, text)`` with the number of rows that
+    have it, added up over some hundred rows at a time."""
+    schema = pa.schema([("mh", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, docs in _chunks(batches):
+            doc, _, _, key = Spans(docs).paths(window, kmer, most)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new_key = np.ones(len(key), bool)
+            new_key[1:] = key[1:] != key[:-1]
+            fresh = new_key.copy()
+            fresh[1:] |= doc[1:] != doc[:-1]
+            some = np.flatnonzero(new_key)
+            count = np.add.reduceat(fresh.astype(np.int64), some) if len(some) else some
+            yield pa.RecordBatch.from_arrays([_signed(key[some]), pa.array(np.minimum(count, 2))], schema=schema)
+
+    return rows.mapInArrow(run, "mh long, n long")
+
+
+def all_paths(rows: DataFrame, window: int, kmer: int, most: int) -> DataFrame:
+    """``(mh, ch, row, id, spot)`` of every path of ``rows(row, id, text)``; ``spot``
+    packs its position and its number of windows less one, ``ch`` hashes its words."""
+    names = ["mh", "ch", "row", "id", "spot"]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
-            spans = Spans([t.encode().split() for t in texts])
+        for row, ids, docs in _chunks(batches):
+            spans = Spans(docs)
             doc, at, size, key = spans.paths(window, kmer, most)
-            columns = [_signed(key), pa.array(np.array(ids, np.int64)[doc])]
-            if not keys_only:
-                marks = np.fromiter(map(_mark, texts), np.int64, len(texts))
-                columns += [pa.array((marks[doc] << 46) | ((at - spans.first[doc]) << 6) | (size - 1)), _signed(spans.range_hash(at, at + size + window - 1))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            hashes = spans.range_hash(at, at + size + window - 1)
+            yield pa.RecordBatch.from_arrays([_signed(key), _signed(hashes), pa.array(row[doc]), pa.array(ids[doc]), pa.array(((at - spans.first[doc]) << 6) | (size - 1))], schema=schema)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _at(spot: str | Column) -> Column:
+    return F.shiftright(spot, 6)
+
 
-    return docs.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+def _windows(spot: str | Column) -> Column:
+    return (F.col(spot) if isinstance(spot, str) else spot).bitwiseAND(F.lit(63)) + 1
 
 
-def _windows_at(window: int):
-    """Reads the windows of the wanted paths of a document again."""
-    schema = pa.schema([(c, pa.int64()) for c in ("mh", "wh", "doc", "ch", "bit")])
+def nodes_of(hits: DataFrame) -> DataFrame:
+    """``mh, ch, lo, hi, row, spot, prev_one, next_one``: the nodes of the compacted
+    graph with their source (the first occurrence in the document of the smallest id,
+    ``lo``), and the one node that is always before and after, or null."""
+    by_row = Window.partitionBy("row").orderBy("spot")
+    key = F.xxhash64("mh", "ch")
+    near = hits.withColumn("key", key)
+    before = F.when(F.lag(_at("spot") + _windows("spot")).over(by_row) == _at("spot"), F.lag("key").over(by_row))
+    after = F.when(F.lead(_at("spot")).over(by_row) == _at("spot") + _windows("spot"), F.lead("key").over(by_row))
+    near = near.select("mh", "ch", "id", "row", "spot", before.alias("before"), after.alias("after"))
+    one = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    grouped = near.groupBy("mh", "ch").agg(F.min(F.struct("id", "row", "spot")).alias("src"), F.max("id").alias("hi"), one("before").alias("prev_one"), one("after").alias("next_one"))
+    return grouped.select("mh", "ch", F.xxhash64("mh", "ch").alias("key"), F.col("src.id").alias("lo"), "hi", F.col("src.row").alias("row"), F.col("src.spot").alias("spot"), "prev_one", "next_one")
+
+
+def chained(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``head`` (the first of its chain) and, for heads, ``length``: the
+    windows of the chain. Links are met at the source: a chain lies there as it does in
+    every occurrence."""
+    by_row = Window.partitionBy("row").orderBy("spot")
+    linked = (F.lag("key").over(by_row) == F.col("prev_one")) & (F.lag("next_one").over(by_row) == F.col("key")) & (F.lag(_at("spot") + _windows("spot")).over(by_row) == _at("spot"))
+    marked = nodes.withColumn("head", ~F.coalesce(linked, F.lit(False)))
+    marked = marked.withColumn("chain", F.sum(F.col("head").cast("long")).over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.withColumn("length", F.when(F.col("head"), F.sum(_windows("spot")).over(Window.partitionBy("row", "chain")))).drop("chain")
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _read_again(window: int):
+    """Digests at the wanted coordinates of a row: of whole chains, and of each window
+    of the paths that share a minimiser with others."""
+    schema = pa.schema([("mh", pa.int64()), ("ch", pa.int64()), ("id", pa.int64()), ("bit", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, t, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "wanted")), strict=True):
-                t = t or ""
-                mark = _mark(t)
-                wanted = [w for w in wanted if w["spot"] >> 46 == mark]
-                if not wanted:
-                    continue
-                spans = Spans([t.encode().split()])
-                spot = np.array([w["spot"] for w in wanted], np.int64)
-                size = (spot & 63) + 1
-                bit = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                at = np.repeat((spot >> 6) & ((1 << 40) - 1), size) + bit
-                out[0].append(np.repeat(np.array([w["mh"] for w in wanted], np.int64), size))
-                out[1].append(spans.range_hash(at, at + window).view(np.int64))
-                out[2].append(np.full(len(at), _LAST if i is None else i, np.int64))
-                out[3].append(np.repeat(np.array([w["ch"] for w in wanted], np.int64), size))
-                out[4].append(bit)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
-
-    return run, "mh long, wh long, doc long, ch long, bit long"
-
-
-def covered_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, most: int = PATH) -> DataFrame:
-    """``(doc, spot, bits)`` for paths of ``docs(id, text)`` with windows that also
-    start in a document of a smaller id; ``bits`` marks those windows."""
+                words = (t or "").encode().split()
+                out: list[tuple] = []
+                for w in wanted:
+                    at = w["spot"] >> 6
+                    if w["length"]:
+                        out.append((w["mh"], w["ch"], i, -1, _digest(words[at : at + w["length"] + window - 1])))
+                    if w["forked"]:
+                        out += [(w["mh"], w["ch"], i, k, _digest(words[at + k : at + k + window])) for k in range((w["spot"] & 63) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run, "mh long, ch long, id long, bit int, digest binary"
+
+
+def covered_spans(rows: DataFrame, window: int = WINDOW, kmer: int = KMER, most: int = PATH) -> tuple[DataFrame, list[DataFrame]]:
+    """``(row, at, length, digest, bits)`` for places of ``rows(row, id, text)`` whose
+    windows also start in a document of a smaller id: ``length`` windows from ``at`` on
+    if the words there have the digest, or those marked in ``bits``. Also the written
+    tables that it reads."""
     if not kmer < window or not 1 <= most <= 63:
         raise ValueError("kmer must be below window, and a path has 1 to 63 windows")
-    shared = all_paths(docs, window, kmer, most, True).groupBy("mh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mh")
-    hits = materialize(all_paths(docs, window, kmer, most).join(shared, "mh", "left_semi"))
-    merged = hits.groupBy("mh", "ch").agg(F.min(F.struct("doc", "spot")).alias("src"))
-    merged = materialize(merged.select("mh", "ch", F.col("src.doc").alias("src"), F.col("src.spot").alias("spot")))
-    forked = merged.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh")
-    wanted = merged.join(forked, "mh", "left_semi").groupBy("src").agg(F.collect_list(F.struct("mh", "ch", "spot")).alias("wanted"))
-    texts = docs.withColumn("k", F.coalesce("id", F.lit(_LAST)))
-    run, schema = _windows_at(window)
-    read = materialize(texts.join(wanted, F.col("k") == F.col("src")).select("id", "text", "wanted").mapInArrow(run, schema).distinct())
-    first = read.groupBy("mh", "wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mh", "wh", "lo")
-    late = read.join(first, ["mh", "wh"]).where("lo < doc")
-    late = late.groupBy("mh", "ch").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
-    whole = F.expr("shiftleft(1L, cast(spot & 63 as int) + 1) - 1")
-    known = merged.join(late, ["mh", "ch"], "left").select("mh", "ch", "src", "bits")
-    return hits.join(known, ["mh", "ch"]).select("doc", "spot", F.when(F.col("src") < F.col("doc"), whole).otherwise(F.col("bits")).alias("bits")).where("bits is not null")
+    shared = materialize(minimisers(rows, window, kmer, most).groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1").select("mh"))
+    hits = materialize(all_paths(rows, window, kmer, most).join(shared, "mh", "left_semi"))
+    release(shared)
+    nodes = materialize(nodes_of(hits))
+    forked = materialize(nodes.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh"))
+    # chains of one document alone are not read; their windows may be, at forks
+    chains = materialize(chained(nodes))
+    wanted = chains.join(forked.withColumn("forked", F.lit(True)), "mh", "left").select("row", F.struct("mh", "ch", "spot", F.when(F.col("lo") < F.col("hi"), F.col("length")).alias("length"), F.coalesce("forked", F.lit(False)).alias("forked")).alias("w"))
+    wanted = materialize(wanted.where("w.length is not null or w.forked").groupBy("row").agg(F.collect_list("w").alias("wanted")))
+    run, schema = _read_again(window)
+    texts = rows.select("row", F.coalesce("id", F.lit(_LAST)).alias("id"), "text")
+    read = materialize(texts.join(wanted, "row").select("id", "text", "wanted").mapInArrow(run, schema))
+    release(nodes, forked, wanted)
+    windows = read.where("bit >= 0")
+    first = materialize(windows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("hi")).where("first < hi").select("digest", "first"))
+    late = windows.join(first, "digest").where("first < id").groupBy("mh", "ch").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    known = chains.where((F.col("head") & (F.col("lo") < F.col("hi")))).select("mh", "ch", "lo", "length").join(read.where("bit < 0").select("mh", "ch", "digest"), ["mh", "ch"])
+    known = materialize(known.join(late, ["mh", "ch"], "full"))
+    whole = F.col("lo").isNotNull() & (F.col("lo") < F.col("id"))
+    found = hits.join(known, ["mh", "ch"]).where(whole | F.col("bits").isNotNull())
+    return found.select("row", _at("spot").alias("at"), F.when(whole, F.col("length")).alias("length"), F.when(whole, F.col("digest")).alias("digest"), "bits"), [hits, chains, read, first, known]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER, most: int = PATH) -> DataFrame:
@@ -193,39 +251,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``window`` consecutive words that covers it also
     starts in a document with a smaller id; windows are judged on the input. Null
-    texts have no words. Rows without id are later than all others and, as rows of
-    one id, do not count against each other. Further columns are ignored; an empty
-    table gives an empty result.
+    texts have no words. Rows without id are later than all others (and than the
+    greatest 64-bit id, which they share) and, as rows of one id, do not count against
+    each other; any number of rows may have one id or none. Repeated rows fare alike.
+    Further columns are ignored; an empty table gives an empty result.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = covered_spans(plain, window, kmer, most).groupBy("doc").agg(F.collect_list(F.struct("spot", "bits")).alias("gone"))
+    rows = numbered(docs, id_col, text_col)
+    spans, _ = covered_spans(rows, window, kmer, most)
+    gone = spans.groupBy("row").agg(F.collect_list(F.struct("at", "length", "digest", "bits")).alias("gone"))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                out = []
                 for t, gone in zip(part.column(1), part.column(2), strict=True):
-                    t = t.as_py() or ""
-                    words = t.encode().split()
+                    words = (t.as_py() or "").encode().split()
                     n = len(words)
                     gone = gone.as_py()
                     if gone:
-                        mark = _mark(t)
                         cover = np.zeros(n + 1, np.int64)
-                        spot = np.array([g["spot"] for g in gone if g["spot"] >> 46 == mark], np.int64)
-                        bits = np.array([g["bits"] for g in gone if g["spot"] >> 46 == mark], np.int64)
-                        which, bit = np.nonzero((bits[:, None] >> np.arange(most)) & 1)
-                        start = ((spot >> 6) & ((1 << 40) - 1))[which] + bit
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + window, -1)
-                        stay = np.cumsum(cover[:n]) == 0
-                        words = [words[i] for i in np.flatnonzero(stay)]
-                    rows.append((n, n - len(words), b" ".join(words).decode()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], schema=schema)
-
-    joined = plain.withColumn("k", F.coalesce("id", F.lit(_LAST))).join(spans, F.col("k") == F.col("doc"), "left").select("id", "text", "gone")
+                        for g in gone:
+                            at = g["at"]
+                            if g["length"]:
+                                end = at + g["length"] + window - 1
+                                if end <= n and _digest(words[at:end]) == g["digest"]:
+                                    cover[at] += 1
+                                    cover[end] -= 1
+                            if g["bits"]:
+                                for k in range(most):
+                                    if g["bits"] >> k & 1:
+                                        cover[at + k] += 1
+                                        cover[at + k + window] -= 1
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
+                    out.append((n, n - len(words), b" ".join(words).decode()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], schema=schema)
+
+    joined = rows.join(gone, "row", "left").select("id", "text", "gone")
     return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
-
-

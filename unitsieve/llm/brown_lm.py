@@ -246,7 +246,7 @@ def gains(m: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np.
     """What :func:`likelihood` gains when a unit joins each class. ``m`` is without the
     unit; ``right`` and ``left`` are its counts with the classes after and before it,
     without itself, and ``own`` those of itself after itself."""
-    rows, cols = m.sum(axis=1), m.sum(axis=0)
+    rows, cols = m.sum(axis=1) + left, m.sum(axis=0) + right  # its bigrams stand in other rows too
     fm = _f(m)
     gain = (_f(m + right) - fm).sum(axis=1) + (_f(m + left[:, None]) - fm).sum(axis=0)
     d = np.diag(m)

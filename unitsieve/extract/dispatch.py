@@ -7,9 +7,11 @@ registration order; text comes last as the catch-all.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from typing import IO
 
 from . import html, jsonish, odf, ooxml, text, toml, xml, yaml
-from .registry import Format
+from .registry import Format, Unit
 
 EXTRACTORS: dict[str, Format] = {f.name: f for f in (*jsonish.FORMATS, yaml.FORMAT, toml.FORMAT, xml.FORMAT, html.FORMAT, *ooxml.FORMATS, *odf.FORMATS, text.FORMAT)}
 
@@ -34,3 +36,20 @@ def claim(path: str, data: bytes) -> str | None:
         except (ValueError, RecursionError):
             continue
     return None
+
+
+def open_units(path: str, file: IO[bytes]) -> tuple[str | None, Iterator[Unit]]:
+    """The format that claims an open file, and its units. Where the name hints at
+    formats that read line by line, and the first bytes agree, the file is never held
+    whole; any other is read at once, as its format needs."""
+    base = os.path.basename(path)
+    ext = os.path.splitext(base)[1].lower()
+    hinted = [f for f in EXTRACTORS.values() if ext in f.extensions]
+    if hinted and hinted[0].stream is not None:
+        head = file.read(text.PEEK)
+        file.seek(0)
+        if hinted[0].sniff(path, head):
+            return hinted[0].name, hinted[0].stream(file)
+    data = file.read()
+    name = claim(path, data)
+    return name, iter(()) if name is None else EXTRACTORS[name].extract(data)

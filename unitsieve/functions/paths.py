@@ -155,6 +155,9 @@ def wanted_column(path: Column, include: tuple[str, ...] = (), exclude: tuple[st
 
 
 def file_uri(path: str) -> str:
+    """The URI of a local path; a path that names its storage is one already."""
+    if "://" in path:
+        return percent(path, safe="/-_.~$&+,:;=@!'()*%")
     return "file://" + percent(os.path.abspath(path), safe="/-_.~$&+,:;=@!'()*")
 
 

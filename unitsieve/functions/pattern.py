@@ -7,6 +7,7 @@ Patterns are written in RE2 syntax. The JVM reads a slightly different dialect,
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -244,39 +245,82 @@ class Matcher:
         """
         if self.literal and not self.pattern:
             return F.expr("cast(array() as array<struct<start:int,end:int>>)")
-        safe = F.translate(text, "\x01\x02", "\x03\x04")
-        pieces = F.split(F.regexp_replace(safe, F.lit(self.java), F.lit("\x01$0\x02")), "\x01", -1)
-        start = F.struct(F.octet_length(pieces[0]).alias("at"), F.lit(-1).alias("last"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+        if self.literal and not self.ignore_case:
+            marked = F.replace(_masked(text), F.lit(self.pattern), F.lit("\x01" + (self.pattern + "\x02") * self.word))
+        else:
+            marked = F.regexp_replace(_masked(text), F.lit(self.java), F.lit("\x01$0\x02"))
+        if self.literal and self.word:
+            cut = _word_spans
+        elif self.literal and not self.ignore_case:
+            width = len(self.pattern.encode())
+            cut = lambda p, sums: F.transform(F.slice(sums, 1, F.size(sums) - 1), lambda e, i: F.struct((e + i * width).alias("start"), (e + (i + 1) * width).alias("end")))
+        else:
+            cut = _regex_spans
+        return _bound(F.split(marked, "\x01", -1), lambda p: _bound(_sums(p), lambda sums: cut(p, sums)))
 
-        def step(acc: Column, piece: Column) -> Column:
-            hit, rest = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
-            end = acc["at"] + F.octet_length(hit)
-            keep = (F.octet_length(hit) > 0) | (acc["at"] != acc["last"])
-            span = F.struct(acc["at"].alias("start"), end.alias("end"))
-            return F.struct((end + F.octet_length(rest)).alias("at"), end.alias("last"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-        if self.literal and self.word:
-            return self._word_spans(pieces)
-        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-
-    def _word_spans(self, pieces: Column) -> Column:
-        """Literal matches whose neighbours are no letter, digit or underscore. A
-        candidate that fails is still used up."""
-        hit = lambda p: F.substring_index(p, "\x02", 1)
-        rest = lambda p: F.substring_index(p, "\x02", -1)
-        n = F.size(pieces)
-        sizes = F.transform(pieces, lambda p, i: F.octet_length(p) - F.when(i > 0, 1).otherwise(0))
-
-        def one(i: Column) -> Column:
-            piece = pieces[i]
-            before = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-            left = F.when(i == 1, pieces[0]).otherwise(F.when(rest(pieces[i - 1]) == "", hit(pieces[i - 1])).otherwise(rest(pieces[i - 1])))
-            right = F.when((rest(piece) == "") & (i + 1 < n), hit(F.get(pieces, i + 1))).otherwise(rest(piece))
-            good = ~left.rlike(r"[\p{L}\p{Nd}_]\z") & ~right.rlike(r"\A[\p{L}\p{Nd}_]")
-            return F.struct(before.alias("start"), (before + F.octet_length(hit(piece))).alias("end"), good.alias("good"))
-
-        found = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), one)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,good:boolean>>)"))
-        return F.transform(F.filter(found, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _masked(text: Column) -> Column:
+    """The text with other control characters for the two that mark matches."""
+    return F.when(text.contains("\x01") | text.contains("\x02"), F.translate(text, "\x01\x02", "\x03\x04")).otherwise(text)
+
+
+#: Pieces added up in one go; a line of more hits is added up block by block, so the
+#: work stays in proportion to the hits.
+_BLOCK = 256
+
+
+def _running(sizes: Column) -> Column:
+    """Sums up to and including each place."""
+    return F.aggregate(sizes, F.expr("cast(array() as array<int>)"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+
+
+def _sums(pieces: Column) -> Column:
+    """Bytes of the text up to the end of each piece, marks left out."""
+    sizes = F.transform(pieces, lambda p: F.octet_length(F.replace(p, F.lit("\x02"), F.lit(""))))
+
+    def blocks(sizes: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(_BLOCK)), lambda at: _running(F.slice(sizes, at, _BLOCK)))
+        return _bound(inner, lambda parts: _bound(_running(F.transform(parts, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(parts, lambda x, k: F.transform(x, lambda v: v + F.when(k == 0, 0).otherwise(F.get(ends, k - 1)))))))
+
+    return _bound(sizes, lambda z: F.when(F.size(z) <= _BLOCK, _running(z)).otherwise(blocks(z)))
+
+
+def _hit(piece: Column) -> Column:
+    return F.substring_index(piece, "\x02", 1)
+
+
+def _rest(piece: Column) -> Column:
+    return F.substring_index(piece, "\x02", -1)
+
+
+def _regex_spans(pieces: Column, sums: Column) -> Column:
+    """An empty match right after another one does not count."""
+    found = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda p, i: F.struct(F.get(sums, i).alias("start"), (F.get(sums, i) + F.octet_length(_hit(p))).alias("end"), ((_hit(p) != "") | (i == 0) | (_rest(F.get(pieces, i)) != "")).alias("keep")),
+    )
+    return F.transform(F.filter(found, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _word_spans(pieces: Column, sums: Column) -> Column:
+    """Literal matches whose neighbours are no letter, digit or underscore. A
+    candidate that fails is still used up."""
+    n = F.size(pieces)
+
+    def one(piece: Column, i: Column) -> Column:
+        before, following = F.get(pieces, i), F.get(pieces, i + 2)
+        left = F.when(i == 0, before).otherwise(F.when(_rest(before) == "", _hit(before)).otherwise(_rest(before)))
+        right = F.when((_rest(piece) == "") & (i + 2 < n), _hit(following)).otherwise(_rest(piece))
+        good = ~left.rlike(r"[\p{L}\p{Nd}_]\z") & ~right.rlike(r"\A[\p{L}\p{Nd}_]")
+        return F.struct(F.get(sums, i).alias("start"), (F.get(sums, i) + F.octet_length(_hit(piece))).alias("end"), good.alias("good"))
+
+    found = F.transform(F.slice(pieces, 2, F.greatest(n - 1, F.lit(0))), one)
+    return F.transform(F.filter(found, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def compile_pattern(pattern: str, ignore_case: bool = False, fixed: bool = False, word: bool = False, spark: SparkSession | None = None) -> Matcher:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 from typing import IO
@@ -23,9 +24,17 @@ def json_records(matches: DataFrame, per_file: DataFrame, summaries_only: bool =
     summary = per_file.select("path", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ord"), F.to_json(F.struct(F.lit("summary").alias("type"), "path", "match_count")).alias("record"))
     if summaries_only:
         return summary
+    return match_records(matches).unionByName(summary)
+
+
+def match_records(matches: DataFrame) -> DataFrame:
+    """``path, kind, ord, record`` of matches alone."""
     fields = [F.col("loc")[f].alias(f) for f in _FIELDS]
-    match = matches.select("path", F.lit(0).alias("kind"), "ord", F.to_json(F.struct(F.lit("match").alias("type"), "path", "format", "uri", "text", "spans", *fields)).alias("record"))
-    return match.unionByName(summary)
+    return matches.select("path", F.lit(0).alias("kind"), "ord", F.to_json(F.struct(F.lit("match").alias("type"), "path", "format", "uri", "text", "spans", *fields)).alias("record"))
+
+
+def summary_record(path: str, count: int) -> str:
+    return json.dumps({"type": "summary", "path": path, "match_count": count}, separators=(",", ":"))
 
 
 def ordered(records: DataFrame, partitions: int | None = None) -> DataFrame:

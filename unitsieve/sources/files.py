@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import model
 from ..extract import dispatch
+from ..functions import paths
 
-#: Rows of one Arrow batch that a file's units are cut into.
+#: Rows of one Arrow batch, whether of one large file or of many small ones.
 BATCH = 2_000
+#: Bytes of text after which a batch leaves early.
+BATCH_BYTES = 4 << 20
 
 
 def files_frame(spark: SparkSession, paths: Iterable[str], partitions: int | None = None) -> DataFrame:
@@ -31,80 +33,105 @@ def files_frame(spark: SparkSession, paths: Iterable[str], partitions: int | Non
     return frame.repartition(partitions or max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
 
 
-def _batch(path: str, name: str | None, first: int, units: list[tuple[str, dict, str]], schema: pa.Schema) -> pa.RecordBatch:
-    """Units as columns; a location field that none of them has is all null."""
-    n = len(units)
-    kinds, locs, texts = zip(*units, strict=True)
-    used = set().union(*locs)
-    loc_type = schema.field("loc").type
-    loc = pa.StructArray.from_arrays([pa.array([x.get(f.name) for x in locs], f.type) if f.name in used else pa.nulls(n, f.type) for f in loc_type], fields=list(loc_type))
-    columns = [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(kinds, pa.string()), loc, pa.array(texts, pa.string()), pa.nulls(n, pa.string())]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
-def _note(path: str, name: str | None, error: str | None, schema: pa.Schema) -> pa.RecordBatch:
-    """A row about a file: that it is searched, or that it failed."""
-    return pa.RecordBatch.from_pylist([{"path": path, "format": name, "ord": None, "loc_kind": None, "loc": None, "text": None, "error": error}], schema=schema)
-
-
-def _unit_batches(path: str, name: str, units: Iterator[tuple[str, dict, str]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    first, error, ended = 0, None, False
-    while not ended:
-        rows: list[tuple[str, dict, str]] = []
+class _Batches:
+    """Gathers rows of many files into batches of ``BATCH`` rows."""
+
+    def __init__(self) -> None:
+        self.schema = to_arrow_schema(model.UNITS)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple[str, str | None, int | None, str | None, dict | None, str | None, str | None]] = []
+        self.bytes = 0
+
+    def batch(self) -> pa.RecordBatch:
+        """The rows as columns; a location field that none of them has is all null."""
+        n = len(self.rows)
+        path, name, order, kind, locs, text, error = zip(*self.rows, strict=True) if n else [()] * 7
+        used = set().union(*(x for x in locs if x))
+        loc_type = self.schema.field("loc").type
+        fields = [pa.array([x and x.get(f.name) for x in locs], f.type) if f.name in used else pa.nulls(n, f.type) for f in loc_type]
+        loc = pa.StructArray.from_arrays(fields, fields=list(loc_type), mask=pa.array([x is None for x in locs], pa.bool_()))
+        columns = [pa.array(c, self.schema.field(i).type) if not isinstance(c, pa.Array) else c for i, c in enumerate((path, name, order, kind, loc, text, error))]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
+
+    def note(self, path: str, name: str | None, error: str | None = None) -> None:
+        """A row about a file: that it is searched, or that it failed."""
+        self.rows.append((path, name, None, None, None, None, error))
+
+    def units(self, path: str, name: str, units: Iterator[tuple[str, dict, str]]) -> Iterator[pa.RecordBatch]:
+        """Adds a file: a row that marks it as searched, its units, and, if it fails
+        half-way, one error row after the units before. Gives batches as they fill."""
+        self.note(path, name)
+        rows = self.rows
+        order = 0
         try:
-            rows.extend(islice(units, BATCH))
-            ended = len(rows) < BATCH
-        except Exception as e:  # what came before the failure stays; the file gets one error row
-            error, ended = str(e) or type(e).__name__, True
-        if rows:
-            yield _batch(path, name, first, rows, schema)
-            first += len(rows)
-    if error is not None:
-        yield _note(path, name, error, schema)
+            for kind, loc, text in units:
+                rows.append((path, name, order, kind, loc, text, None))
+                order += 1
+                self.bytes += len(text)
+                if len(rows) >= BATCH or self.bytes > BATCH_BYTES:
+                    yield self.batch()
+                    rows = self.rows
+        except Exception as e:
+            self.note(path, name, str(e) or type(e).__name__)
+        if len(self.rows) >= BATCH:
+            yield self.batch()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield self.batch()
 
 
 def read_units(files: DataFrame, types: tuple[str, ...] = ()) -> DataFrame:
     """``UNITS`` of every file. A file that cannot be read, or fails half-way, adds a
     row with ``error``; one that no format claims, or of a type not asked for, adds
     none. A file without units adds a row without text and order, so it still counts
-    as searched."""
-    schema = to_arrow_schema(model.UNITS)
+    as searched. Plain text is read line by line, whatever the file's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batches()
         for batch in batches:
             for path, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     with open(file, "rb") as f:
-                        data = f.read()
+                        name, units = dispatch.open_units(path, f)
+                        if name is not None and (not types or name in types):
+                            yield from out.units(path, name, units)
                 except OSError as e:
-                    yield _note(path, None, e.strerror or str(e), schema)
-                    continue
-                yield from units_of(path, data, types, schema)
+                    out.note(path, None, e.strerror or str(e))
+        yield from out.rest()
 
     return files.select("path", "file").mapInArrow(run, model.UNITS)
 
 
-def units_of(path: str, data: bytes, types: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The batches of one file's units; the first row marks the file as searched."""
-    name = dispatch.claim(path, data)
-    if name is None or (types and name not in types):
-        return
-    yield _note(path, name, None, schema)
-    yield from _unit_batches(path, name, dispatch.EXTRACTORS[name].extract(data), schema)
-
-
 def content_units(table: DataFrame, path: Column, content: Column, types: tuple[str, ...] = ()) -> DataFrame:
-    """``UNITS`` of files held in a table: ``content`` is text or bytes."""
-    schema = to_arrow_schema(model.UNITS)
+    """``UNITS`` of files held in a table: ``content`` is text or bytes. Small files
+    share batches; a table of few, large partitions is spread by the caller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batches()
         for batch in batches:
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from units_of(p, data.as_py() or b"", types, schema)
+                data = data.as_py() or b""
+                name = dispatch.claim(p, data)
+                if name is not None and (not types or name in types):
+                    yield from out.units(p, name, dispatch.EXTRACTORS[name].extract(data))
+        yield from out.rest()
 
     return table.select(path.alias("path"), content.cast("binary").alias("content")).mapInArrow(run, model.UNITS)
 
 
+def stored_files(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``path, content`` of the files below ``root`` on any storage that Spark reads
+    (HDFS, object stores, ``file://``); executors list and read, the driver sees no
+    contents. Globs are those of a local walk; ignore files are not looked up there,
+    and names that begin with ``.`` or ``_`` are passed over, as Spark does."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.where(paths.wanted_column(F.col("path"), include, exclude)).select("path", "content")
+
+
 def _text_lines(text: Column) -> Column:
     """Lines of a non-empty text: LF ends a line, one CR before it goes, and so does
     one at the very end; no empty last line."""
@@ -122,15 +149,27 @@ def text_units(table: DataFrame, path: Column, text: Column, *keep: str, where:
     return table.select(path.cast("string").alias("path"), F.lit("text").alias("format"), *keep, F.posexplode(_text_lines(text)).alias("pos", "text")).select("path", "format", *keep, F.col("pos").cast("long").alias("ord"), "text")
 
 
+def with_line_location(lines: DataFrame) -> DataFrame:
+    """Lines of standard input, ``ord, text`` and more, with the other columns of ``UNITS``."""
+    fields = [((F.col("ord") + 1) if f.name == "line" else F.lit(None)).cast(f.dataType).alias(f.name) for f in model.LOC]
+    return lines.select("*", F.lit(model.STDIN).alias("path"), F.lit("text").alias("format"), F.lit("text_line").alias("loc_kind"), F.struct(*fields).alias("loc"), F.lit(None).cast("string").alias("error"))
+
+
+def line_units(spark: SparkSession, lines: list[str], first: int) -> DataFrame:
+    """Lines of standard input as ``UNITS``, numbered from ``first``."""
+    table = pa.table({"ord": pa.array(range(first, first + len(lines)), pa.int64()), "text": pa.array(lines, pa.string())})
+    return with_line_location(spark.createDataFrame(table))
+
+
 def stdin_units(spark: SparkSession, data: bytes) -> DataFrame:
     """Units of standard input: always text, with path ``-``."""
-    schema = to_arrow_schema(model.UNITS)
     frame = spark.createDataFrame([(bytearray(data),)], "content binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batches()
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield _note(model.STDIN, "text", None, schema)
-                yield from _unit_batches(model.STDIN, "text", dispatch.EXTRACTORS["text"].extract(data), schema)
+                yield from out.units(model.STDIN, "text", dispatch.EXTRACTORS["text"].extract(data))
+        yield from out.rest()
 
     return frame.mapInArrow(run, model.UNITS)

@@ -79,7 +79,7 @@ def search_stream(units: DataFrame, matcher: Matcher, options: SearchOptions = S
     rows = units.select("path", "ord", "text", (~hit if options.invert else hit).alias("hit"))
     before, after = (0, 0) if options.invert else (options.lead, options.trail)
     if not (before or after or options.max_count > 0):
-        return rows.where("hit").select("path", "ord", "text", (F.lit(not options.invert)).alias("is_match"))
+        return rows.where("hit").select("path", "ord", "text", F.lit(True).alias("is_match"))
     return rows.groupBy("path").transformWithStateInPandas(ContextProcessor(before, after, options.max_count), OUTPUT, "Append", "None")
 
 

@@ -44,8 +44,8 @@ DELTA = 0.1
 BLOCK = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Words counted, and tokens gathered, before a task passes its counts on.
-_SEGMENT = 4_000_000
-_FLUSH = 1_000_000
+_SEGMENT = 2_000_000
+_FLUSH = 500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -143,12 +143,20 @@ def encoded_rows(rows: DataFrame, lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
-            ids, others = [], []
-            for t in batch.column(3):
-                at, found = lex.read(tokens(t.as_py()))
-                ids.append(at.tobytes())
-                others.append([{"word": w, "n": n} for w, n in found.items()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(others, other)], schema=schema)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                ids: list[bytes] = []
+                words: list[bytes] = []
+                counts: list[int] = []
+                ends = [0]
+                for t in part.column(3):
+                    at, found = lex.read(tokens(t.as_py()))
+                    ids.append(at.tobytes())
+                    words += found
+                    counts += found.values()
+                    ends.append(len(words))
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=other)], schema=schema)
 
     return rows.select("row", "id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(run, "row long, id long, held_out boolean, ids binary, others array<struct<word:binary,n:long>>")
 
@@ -170,9 +178,9 @@ def _sequences(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarr
 
 
 def _summed(train: DataFrame, end: int, cells: int, count: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``k, at, n``: the sum over all tasks of the array of ``cells`` counts that
-    ``count`` makes of a sequence, in blocks of ``BLOCK`` cells; only cells that are
-    not zero travel."""
+    """``k, at, n``: how often each of ``cells`` cells is met over all tasks, where
+    ``count`` gives the cells of a sequence, in blocks of ``BLOCK`` cells; only cells
+    that are not zero travel."""
     schema = pa.schema([("k", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 
     def rows(k: int, block: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -183,12 +191,13 @@ def _summed(train: DataFrame, end: int, cells: int, count: Callable[[np.ndarray]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in range(3)], schema=schema)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(cells, np.uint32)
+        one = np.uint32(1)
         for sequence in _sequences(batches, end):
-            part = count(sequence)
-            total = part if total is None else total + part
-        if total is not None:
-            yield table([rows(k, total[a : a + BLOCK]) for k, a in enumerate(range(0, cells, BLOCK)) if total[a : a + BLOCK].any()])
+            np.add.at(total, count(sequence), one)
+        for k, a in enumerate(range(0, cells, BLOCK)):
+            if total[a : a + BLOCK].any():
+                yield table([rows(k, total[a : a + BLOCK])])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -214,21 +223,21 @@ def pair_counts(train: DataFrame, level: np.ndarray, end: int) -> np.ndarray:
 
     def count(sequence: np.ndarray) -> np.ndarray:
         s = level[sequence]
-        return np.bincount(s[:-1] * n + s[1:], minlength=n * n)
+        return s[:-1] * n + s[1:]
 
     return _gather(_summed(train, end, n * n, count), n * n).reshape(n, n)
 
 
-def _neighbours(start: np.ndarray, of: np.ndarray, cells: int, classes: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Counts, for each unit, of the classes after it, of those before it, and of
-    itself after itself, in cells from ``start[unit]`` on (below 0: passed over)."""
+def _neighbours(start: np.ndarray, of: np.ndarray, classes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The cells, for each unit, of the classes after it, of those before it, and of
+    itself after itself, from ``start[unit]`` on (below 0: passed over)."""
 
     def count(sequence: np.ndarray) -> np.ndarray:
         at, c = start[sequence], of[sequence]
         left, right = at[:-1], at[1:]
         same = left[(left == right) & (left >= 0)] + 2 * classes
         after, before = (left + c[1:])[left >= 0], (right + classes + c[:-1])[right >= 0]
-        return np.bincount(np.concatenate((after, before, same)), minlength=cells)
+        return np.concatenate((after, before, same))
 
     return count
 
@@ -344,7 +353,7 @@ def _leaders(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np
     inside[level] = of
     best, kept = -math.inf, inside
     for _ in range(ROUNDS):
-        near = _gather(_summed(train, lex.end, n * width, _neighbours(level * width, inside[level], n * width, classes + 1)), n * width).reshape(n, width)
+        near = _gather(_summed(train, lex.end, n * width, _neighbours(level * width, inside[level], classes + 1)), n * width).reshape(n, width)
         reached = likelihood(class_moves(near, inside, classes))
         if reached <= best:
             break
@@ -384,7 +393,7 @@ def _rest(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(found, pa.int32())], names=["unit", "class"])
 
     out = of.copy()
-    chosen = _summed(train, lex.end, cells, _neighbours(start, of, cells, classes + 1)).mapInArrow(choose, "unit int, class int").toArrow()
+    chosen = _summed(train, lex.end, cells, _neighbours(start, of, classes + 1)).mapInArrow(choose, "unit int, class int").toArrow()
     out[chosen["unit"].to_numpy()] = chosen["class"].to_numpy()
     return out
 

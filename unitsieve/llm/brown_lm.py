@@ -44,8 +44,8 @@ DELTA = 0.1
 BLOCK = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Words counted, and tokens gathered, before a task passes its counts on.
-_SEGMENT = 2_000_000
-_FLUSH = 500_000
+_SEGMENT = 1_500_000
+_FLUSH = 250_000
 
 
 def tokens(text: str | None) -> list[bytes]:

@@ -32,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes that a writer holds before it passes them on.
+ROW_GROUP = 32 << 20
 #: Removes the shuffle files of a job once its result is written.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))

@@ -13,12 +13,13 @@ shingles of the other lines; documents that agree on a key are related.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .simhash import components
 
 #: A template recurs from so many families on.
@@ -65,14 +66,34 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) <= SAMPLED, hashes).otherwise(F.filter(hashes, lambda h, k: (k == 0) | (h.bitwiseAND(F.lit(SAMPLE - 1)) == 0)))
 
 
-def _parsed(text: Column) -> Column:
-    """no, line, exact and least of the non-blank lines of a text; ``least`` has the least
-    shingle hash for each order. The steps are apart, as no value is held inside a lambda."""
-    lines = F.transform(F.transform(F.transform(_lines(text), _plain), _wild), lambda m, k: F.struct(k.alias("no"), m.alias("line")))
-    lines = F.filter(lines, lambda p: p["line"] != "")
-    words = F.transform(lines, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), F.split(p["line"], " ").alias("words")))
-    hashed = F.transform(words, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), _shingles(p["words"]).alias("hashes")))
-    return F.transform(hashed, lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), F.xxhash64(p["line"]).alias("exact"), F.array(*[_least(p["hashes"], s) for s in ORDERS]).alias("least")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """``i, t, no, exact, leaf, line`` of every non-blank line of ``docs(i, t, text)``."""
+    lines = F.transform(F.transform(F.transform(_lines(F.col("text")), _plain), _wild), lambda m, k: F.struct(k.alias("no"), m.alias("line")))
+    rows = docs.select("i", "t", F.explode(F.filter(lines, lambda p: p["line"] != "")).alias("p")).select("i", "t", "p.no", "p.line")
+    return rows.select("i", "t", "no", F.xxhash64("line").alias("exact"), _leaf(F.col("line")).alias("leaf"), "line")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``t, first, second`` of ``docs(t, text)``: for each order the least shingle hash
+    with its line, and the least one in all other lines."""
+    orders = range(len(ORDERS))
+    lines = F.filter(F.transform(F.transform(_lines(F.col("text")), _plain), _wild), lambda m: m != "")
+    hashed = F.transform(lines, lambda m: F.struct(F.xxhash64(m).alias("exact"), _bound(F.split(m, " "), _shingles).alias("hashes")))
+    known = docs.select("t", F.transform(hashed, lambda p: F.struct(p["exact"].alias("exact"), F.array(*[_least(p["hashes"], s) for s in ORDERS]).alias("least"))).alias("lines"))
+    known = known.select("t", "lines", F.array(*[_first(F.col("lines"), j) for j in orders]).alias("first"))
+    return known.select("t", "first", F.array(*[_second(F.col("lines"), F.col("first"), j) for j in orders]).alias("second"))
+
+
+def rest_keys(exact: Column, first: Column, second: Column) -> Column:
+    """``BANDS`` keys of a document without one of its lines."""
+    orders = range(len(ORDERS))
+    value = lambda j: F.when(first[j]["exact"] == exact, second[j]).otherwise(first[j]["m"])
+    return F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in orders[b::BANDS]]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for b in range(BANDS)])
 
 
 def _least(hashes: Column, order: int) -> Column:
@@ -99,19 +120,6 @@ def _leaf(line: Column) -> Column:
     return F.xxhash64(size, lead)
 
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """``i, t, no, exact, leaf, line, rest`` of every non-blank line of ``docs(i, t,
-    text)``. ``rest`` has ``BANDS`` keys of the document without the line."""
-    orders = range(len(ORDERS))
-    known = docs.select("i", "t", _parsed(F.col("text")).alias("lines"))
-    known = known.select("i", "t", "lines", F.array(*[_first(F.col("lines"), j) for j in orders]).alias("first"))
-    known = known.select("i", "t", "lines", "first", F.array(*[_second(F.col("lines"), F.col("first"), j) for j in orders]).alias("second"))
-    rows = known.select("i", "t", "first", "second", F.explode(F.transform("lines", lambda p: F.struct(p["no"].alias("no"), p["line"].alias("line"), p["exact"].alias("exact")))).alias("p")).select("i", "t", "first", "second", "p.*")
-    value = lambda j: F.when(F.col("first")[j]["exact"] == F.col("exact"), F.col("second")[j]).otherwise(F.col("first")[j]["m"])
-    rest = F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in orders[b::BANDS]]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for b in range(BANDS)])
-    return rows.select("i", "t", "no", "exact", _leaf(F.col("line")).alias("leaf"), "line", rest.alias("rest"))
-
-
 def families(rows: DataFrame) -> DataFrame:
     """``g, families`` of ``rows(g, rest)``: rows of a group with a key in common are
     related, and so are those between which relations lead."""
@@ -122,12 +130,14 @@ def families(rows: DataFrame) -> DataFrame:
     return nodes.select("g", "node").join(roots.where("node <> root"), "node", "left").groupBy("g").agg((F.count("*") - F.count("root")).alias("families"))
 
 
-def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
-    """``exact``: hashes of the masked lines whose template recurs."""
-    seen = materialize(lines.select("exact", "leaf", "rest").distinct())
-    exacts = seen.groupBy("exact").agg(F.count("*").alias("n")).where(F.col("n") >= min_families).select("exact")
-
-    crowded = seen.groupBy("leaf").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).where((F.col("n") >= min_families) & (F.col("lo") < F.col("hi"))).select("leaf")
+def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+    """``exact``: hashes of the masked lines whose template recurs in ``docs(i, t,
+    text)``. Lines of different texts are counted first; only documents with a line in
+    enough of them are looked at again, each text once."""
+    seen = lines.select("exact", "leaf", "t").distinct().groupBy("exact").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"))
+    seen = materialize(seen)
+    exacts = seen.where(F.col("n") >= min_families).select("exact")
+    crowded = seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_families) & (F.col("kinds") > 1)).select("leaf")
     crowded = materialize(crowded)
     if crowded.count() <= BROADCAST_LEAVES:
         crowded = F.broadcast(crowded)
@@ -139,11 +149,20 @@ def recurring_lines(lines: DataFrame, min_families: int = MIN_FAMILIES) -> DataF
     trees = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
     agree = F.aggregate(F.map_entries("fixed"), F.lit(0), lambda n, e: n + F.when(F.col("tokens")[e["key"]] == e["value"], 1).otherwise(0))
     matched = members.join(trees, "leaf").where((F.size("fixed") >= CONSTANT * F.size("tokens")) & (agree >= AGREE * F.size("fixed"))).select("exact", "leaf")
-    # a group for each exact line and each template
-    groups = materialize(exacts.select("exact", F.xxhash64(F.lit(0), "exact").alias("g")).unionByName(matched.select("exact", F.xxhash64(F.lit(1), "leaf").alias("g"))))
+    # a group for each exact line and each template, if enough different texts have it
+    groups = exacts.select("exact", F.xxhash64(F.lit(0), "exact").alias("g")).unionByName(matched.select("exact", F.xxhash64(F.lit(1), "leaf").alias("g")))
+    groups = groups.join(seen.select("exact", "n"), "exact")
+    wide = groups.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= min_families).select("g")
+    groups = materialize(groups.join(wide, "g", "left_semi").select("exact", "g"))
+    release(members)
+    kinds = groups.select("exact").distinct()
     if groups.count() <= BROADCAST_LEAVES:
-        groups = F.broadcast(groups)
-    wide = families(seen.select("exact", "rest").join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
+        kinds, groups = F.broadcast(kinds), F.broadcast(groups)
+    held = materialize(lines.join(kinds, "exact", "left_semi").groupBy("exact", "t").agg(F.min("i").alias("i")))
+    texts = held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi"))
+    known = materialize(sketches(docs.join(texts, (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")).dropDuplicates(["t"]))
+    rest = materialize(held.join(known, "t").select("exact", rest_keys(F.col("exact"), F.col("first"), F.col("second")).alias("rest")).distinct())
+    wide = families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
     return groups.join(wide, "g", "left_semi").select("exact").distinct()
 
 
@@ -153,21 +172,33 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Blank lines stay. A null text stays null with no lines. Rows are told apart by
     id and text, so equal rows fare alike; rows without id are treated like any
-    other. An empty table gives an empty result. All columns of ``docs`` pass.
+    other. Texts and lines of any length are read whole; where two tokens are equally
+    frequent at a place of a template, neither is a majority and the place varies. An
+    empty table gives an empty result. All columns of ``docs`` pass, but columns of the
+    two new names are replaced.
     """
     text = F.col(text_col).cast("string")
     names = docs.columns
     id_key, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
     keyed = docs.select(id_key.alias("i"), text_key.alias("t"), text.alias("text"))
     lines = materialize(parsed_lines(keyed))
-    drop = recurring_lines(lines, min_families)
-    gone = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t")).agg(F.collect_set("no").alias("__gone"))
+    drop = recurring_lines(lines, keyed, min_families)
+    bits = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t"), F.floor(F.col("no") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, no % 64)")).alias("bits"))
+    gone = bits.groupBy("__i", "__t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"), F.sum(F.bit_count("bits")).alias("__n"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone, ["__i", "__t"], "left")
-    left = F.array_join(F.filter(_lines(F.col("__text")), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(left)
+    new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(_bound(_lines(F.col("__text")), lambda lines: F.array_join(_left(lines, F.col("__gone")), "\n")))
     columns = [(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in names]
     count = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text"))))
-    return held.select(*columns, count.cast("long").alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__dropped"))
+    return held.select(*[c for c, name in zip(columns, names, strict=True) if name not in ("__lines", "__dropped")], count.cast("long").alias("__lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("__dropped"))
+
+
+def _left(lines: Column, gone: Column) -> Column:
+    """The lines whose bits are not set in ``gone`` (number of 64 lines → bits), 64 by 64."""
+
+    def block(w: Column) -> Column:
+        return _bound(F.coalesce(F.try_element_at(gone, w), F.lit(0).cast("long")), lambda bits: F.filter(F.slice(lines, w * 64 + 1, 64), lambda _, k: F.call_function("getbit", bits, k) == 0))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 64).cast("int")), block))
 
 
 def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

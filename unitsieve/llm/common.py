@@ -34,8 +34,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 #: Bytes that a writer holds before it passes them on.
 ROW_GROUP = 32 << 20
-#: Removes the shuffle files of a job once its result is written.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go once the result stands, and Python
+#: workers get fewer rows at once than by default, as a row may be a long text.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,12 +44,14 @@ def materialize(df: DataFrame) -> DataFrame:
     shuffled on the way is not needed after that and is removed."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/unitsieve/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = (spark, path)
@@ -83,6 +86,15 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(plain)
 
 
+def with_numbers(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with one more column, whose name is given too: a number
+    of its own for every row. Row identity for stages that keep or drop whole rows."""
+    name = "__number"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text. ``bytes.split`` breaks at exactly the six
     ASCII white-space characters of ``WORD_PATTERN``."""

@@ -57,6 +57,71 @@ def test_html_frame(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+ODD_MARKUP = {
+    "<article><p>Before the picture.</p><svg class='i'/><p>After it in the text.</p></article>": "Before the picture.\nAfter it in the text.",
+    "<article><!-- <script> old --><p>Text that stays.</p></article>": "Text that stays.",
+    "<article><!-- <style> --><p>One.</p><style>p {}</style><p>Two.</p></article>": "One.\nTwo.",
+    '<article><p>A <img alt="5" tall">picture.</p></article>': "A picture.",
+    "<article><p>The sum <math><mi>x</mi></math> is it.</p></article>": "The sum x is it.",
+    "<article><p>a<script>'</p>' > x</script> b <svg><text>no</text></svg> c</p><p": "a b c",
+    '<article><p title="a > b">Text.</p><p title=\'c">d\'>More.</p></article>': "Text.\nMore.",
+    "<article><p>x &lt; y &amp;amp; z &#x41;&eacute;&nbsp;w</p></article>": "x < y &amp; z Aé w",
+    "<article><p>It is long. " + "word " * 200_000 + "</p></article>": "It is long. " + " ".join(["word"] * 200_000),
+    "<p" + " a='b'" * 50_000: "",
+    "<" * 50_000 + "<b>": None,
+}
+
+
+@pytest.mark.parametrize("page", ODD_MARKUP)
+def test_html_odd_markup(page):
+    want = ODD_MARKUP[page]
+    got = html_extract.main_text(page)
+    assert want is None or got == want
+
+
+def test_html_article_section_is_judged():
+    """Articles that are link cards are not the main text; a lone "copyright" far into a page does not matter."""
+    story = "The story of the man and the sea is in this text, and it is long, as copyright is. " * 4
+    cards = "".join(f"<article><h2><a href=/{i}>Card {i}</a></h2><a href=/{i}>Read it</a></article>" for i in range(5))
+    page = f"<body>{cards}<div><h2>Head</h2><p>{story}</p><p>{story}</p></div>{cards}</body>"
+    assert html_extract.main_text(page) == "\n".join(["Head", story.strip(), story.strip()])
+    links = "".join(f"<li><a href=/{i}>See the other page {i}</a></li>" for i in range(4))
+    assert html_extract.main_text(f"<article><p>{story}</p><p><a href=/x>One link</a></p><p>{story}</p><ul>{links}</ul></article>") == f"{story.strip()}\nOne link\n{story.strip()}"
+
+
+def _bare(page):
+    """A page without the names of elements and classes that tell its parts."""
+    import re
+
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b", r"<\1div", page))
+
+
+def _by_rules(pages, wanted):
+    hit = got = want = 0
+    for page, text in zip(pages, wanted, strict=True):
+        a, b = Counter(html_extract.main_text(_bare(page)).split("\n")), Counter(text.split("\n"))
+        hit += sum(len(k) * min(n, b[k]) for k, n in a.items())
+        got += sum(len(k) * n for k, n in a.items())
+        want += sum(len(k) * n for k, n in b.items())
+    return hit / max(1, got), hit / max(1, want)
+
+
+def test_html_by_rules_alone_and_ablation(spark, monkeypatch):
+    """Pages stripped of all element hints: the text rules find the article; without any one of them they find less."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120).collect()]
+    wanted = [html_extract.main_text(p) for p in pages]
+    precision, recall = _by_rules(pages, wanted)
+    assert precision > 0.98 and recall > 0.94
+    nav = ["<ul>" + "".join(f"<li><a href=/{i}>The way to the part {i} of it, for you and for all who are here</a></li>" for i in range(20)) + "</ul>" + p for p in map(_bare, pages)]
+    first = _by_rules(nav, wanted)
+    for without, least in (({"STOP_WORDS": frozenset()}, 1), ({"LINK_HIGH": 2.0, "LINK_ONLY": 2.0}, 0), ({"LENGTH_LOW": 0}, None)):
+        with monkeypatch.context() as m:
+            for name, value in without.items():
+                m.setattr(html_extract, name, value)
+            other = _by_rules(nav, wanted)
+        assert other != first and (least is None or other[least] < first[least]), without
+
+
 # --- 2 token counts
 
 
@@ -231,7 +296,14 @@ def test_drop_near_duplicates(docs, odd):
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({r["component_id"] for r in groups})
-    assert simhash.drop_near_duplicates(odd).where("doc_id is not null").count() == 2
+    left = simhash.drop_near_duplicates(odd)
+    assert left.columns == odd.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(False, 5, "a b " * 40), (False, 7, "other text for the id"), (True, 0, ""), (True, 0, "the of and it is so")]
+
+
+def test_two_texts_of_one_id_both_stay(spark):
+    frame = spark.createDataFrame([(1, "the first text of this id is about the sea"), (1, "another one, quite unlike it, on mountains and snow")] * 3, "doc_id long, text string")
+    assert simhash.drop_near_duplicates(frame).count() == 2
 
 
 # --- 5 substrings
@@ -381,6 +453,13 @@ def test_sharding(spark, docs, rows, odd, empty):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len(sizes) == 40 and max(sizes.values()) < 1.3 * min(sizes.values())
     assert sharding.shard(odd, t).count() == 6 and sharding.shard(empty, t).count() == 0
+    rows = [(None, f"t{k % 700}") for k in range(3000)] + [(5, f"t{k % 700}") for k in range(3000)] + [(7, "equal")] * 2000
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), t, buckets=8).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in out) == Counter((i, zlib.crc32(x.encode())) for i, x in rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def test_weights_confine_movement(spark):
@@ -598,6 +677,24 @@ def test_many_indexes(spark, monkeypatch):
     texts, tests = docs.toPandas(), items.toPandas()
     assert want >= {(d, i) for d, t in zip(texts.doc_id, texts.text, strict=True) for i, b in zip(tests.item_id, tests.text, strict=True) if b in t}
     assert len(list(decontam.indexes(items, most=10))) == 4
+    real = decontam.indexes
+    monkeypatch.setattr(decontam, "indexes", lambda b: real(b, most=10))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()}
+    assert found >= {(d, i) for d, t in zip(texts.doc_id, texts.text, strict=True) for i, b in zip(tests.item_id, tests.text, strict=True) if b in t}
+    left = {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()}
+    assert left == set(texts.doc_id) - {d for d, _ in found}
+
+
+def test_contaminated_odd_rows(spark, odd):
+    """Null ids and texts, repeated rows, clashing columns; a repeated item counts once."""
+    item = "of the a b a b a b a b one two three four five six. So it is said."
+    items = spark.createDataFrame([(1, item), (1, item), (2, item), (None, "x y z w of the sea and the land. All of it.")], "item_id long, text string")
+    rows = [(None, f"Here: {item} there", "x", 1, 2, 3), (9, f"Here: {item}", "x", 1, 2, 3), (9, f"Here: {item}", "x", 1, 2, 3)]
+    wide = odd.unionByName(spark.createDataFrame(rows, odd.schema)).withColumn("item_id", odd["n"]).withColumn("score", odd["n"])
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(wide, items).collect())
+    assert got == {(None, 1): 1, (None, 2): 1, (9, 1): 2, (9, 2): 2}
+    left = decontam.drop_contaminated(wide, items)
+    assert left.columns == wide.columns and left.count() == 6
 
 
 def test_short_items(spark):
@@ -634,27 +731,114 @@ def test_lines(spark, docs, odd, empty):
     assert kept.schema.names == docs.schema.names and kept.count() == docs.count()
 
 
-def test_exact_templates_by_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = docs.select("doc_id", "text").toPandas()
-    mask = docs.sparkSession.createDataFrame([(x,) for t in texts.text for x in t.split("\n")], "x string").select("x", line_templates.masked(F.col("x")).alias("m")).distinct().toPandas()
-    masked = dict(zip(mask.x, mask.m, strict=True))
-    signed = lambda h: struct.unpack("<q", struct.pack("<Q", h))[0]
+def chain_hash(values):
+    """Spark's xxhash64 of several columns: each value hashed with the hash before as seed, nulls passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
+    return struct.unpack("<q", struct.pack("<Q", h))[0]
 
-    def one(t):
-        long = [w for w in t.encode().split() if len(w) >= 8]
-        return min((signed(xxhash.xxh64_intdigest(w, 42)) for w in long), default=signed(xxhash.xxh64_intdigest(t.encode(), 42)))
 
-    family = {d: one(t) for d, t in zip(texts.doc_id, texts.text, strict=True)}
+def brute_line_dedup(texts, masked, min_families=10):
+    """Row → numbers of its dropped lines. Plain loops over the same rules."""
+    m = line_templates
+    lines = [[(k, masked[x]) for k, x in enumerate((t or "").split("\n")) if masked[x]] for t in texts]
     seen = {}
-    for d, t in zip(texts.doc_id, texts.text, strict=True):
-        for m in {masked[x] for x in t.split("\n")} - {""}:
-            seen.setdefault(m, []).append(family[d])
-    recurring = {m for m, f in seen.items() if len(set(f)) >= 10 and len(set(f)) >= 0.2 * len(f)}
-    got = {r["doc_id"]: r["__dropped"] for r in line_templates.clean_lines(docs).collect()}
-    assert recurring
-    for d, t in zip(texts.doc_id, texts.text, strict=True):
-        assert got[d] >= sum(masked[x] in recurring for x in t.split("\n"))
+    for t, found in zip(texts, lines, strict=True):
+        for _, line in found:
+            seen.setdefault(line, set()).add(t)
+    leaves = {}
+    for line in seen:
+        tokens = line.split(" ")
+        leaves.setdefault((len(tokens), tuple(tokens[: min(m.LEADING, max(1, len(tokens) - 1))])), []).append(line)
+    groups = [[line] for line in seen if len(seen[line]) >= min_families]
+    for kinds in leaves.values():
+        if len(kinds) > 1 and sum(len(seen[x]) for x in kinds) >= min_families:
+            split = [x.split(" ") for x in kinds]
+            fixed = {k: w for k in range(len(split[0])) for w, n in Counter(x[k] for x in split).items() if 2 * n > len(split)}
+            good = [" ".join(x) for x in split if len(fixed) >= m.CONSTANT * len(x) and sum(x[k] == w for k, w in fixed.items()) >= m.AGREE * len(fixed)]
+            if sum(len(seen[x]) for x in good) >= min_families:
+                groups.append(good)
+    shingles = {}
+
+    def keys(text, without):
+        least = [None] * len(m.ORDERS)
+        for line in {masked[x] for x in text.split("\n")} - {"", without}:
+            if line not in shingles:
+                words = line.split(" ")
+                hashes = [chain_hash(words[k : k + 3]) for k in range(len(words))]
+                shingles[line] = [h for k, h in enumerate(hashes) if len(words) <= m.SAMPLED or k == 0 or not h & (m.SAMPLE - 1)]
+            for j, order in enumerate(m.ORDERS):
+                for h in shingles[line]:
+                    x = h ^ order
+                    least[j] = x if least[j] is None else min(x, least[j])
+        return tuple((b, tuple(least[b :: m.BANDS])) for b in range(m.BANDS))
+
+    gone = set()
+    for group in groups:
+        rows = {keys(t, line) for line in group for t in seen[line]}
+        roots = {r: r for r in rows}
+
+        def find(x, roots=roots):
+            while roots[x] != x:
+                x = roots[x]
+            return x
+
+        by_key = {}
+        for r in rows:
+            for key in r:
+                roots[find(r)] = find(by_key.setdefault(key, r))
+        if len({find(r) for r in rows}) >= min_families:
+            gone |= set(group)
+    return [[k for k, line in found if line in gone] for found in lines]
+
+
+def two_sided(spark, rows):
+    texts = [t for _, t in rows]
+    every = sorted({x for t in texts for x in (t or "").split("\n")})
+    found = spark.createDataFrame([(x,) for x in every], "x string").select("x", line_templates.masked(F.col("x")).alias("m")).collect()
+    masked = {r["x"]: r["m"] for r in found}
+    want = brute_line_dedup(texts, masked)
+    got = {r["doc_id"]: r for r in line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), gone in zip(rows, want, strict=True):
+        lines = (t or "").split("\n")
+        assert got[i]["__dropped"] == len(gone), i
+        assert got[i]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)), i
+    return sum(map(len, want))
+
+
+def test_lines_by_brute_force(spark):
+    """Exact lines, wildcards, copies and near copies: what is dropped and what stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert two_sided(spark, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]) > 100
+    rng = random.Random(64)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    notes = ["Signed off by @ on the day of the fair at @ hall", "Share this page with @", "To be read in the room of the @ only, thanks"]
+    rows = []
+    for i in range(150):
+        own = [" ".join(word() for _ in range(rng.randrange(1, 20))) for _ in range(rng.randrange(1, 4))]
+        note = rng.choice(notes)
+        while "@" in note:
+            note = note.replace("@", word(), 1)
+        own.insert(rng.randrange(len(own) + 1), note)
+        if i % 7 == 0:
+            own = rows[rng.randrange(len(rows))][1].split("\n") if rows else own
+            own = [*own, word()] if i % 2 else own
+        rows.append((i, "\n".join(own)))
+    rows += [(500, None), (501, ""), (502, "\n\n")]
+    assert two_sided(spark, rows) > 60
+
+
+def test_long_text_of_many_lines(spark):
+    """A document of 30,000 lines, half of them recurring."""
+    rng = random.Random(65)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    notes = [f"note of the {word()} {word()} kind {word()}" for _ in range(50)]
+    rows = [(i, "\n".join([word(), *notes])) for i in range(12)]
+    rows.append((99, "\n".join(notes[k % 50] if k % 2 else f"{word()} {word()} own" for k in range(30_000))))
+    out = {r["doc_id"]: r for r in line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[99]["__dropped"] == 15_000 and out[99]["text"].split("\n") == rows[-1][1].split("\n")[::2]
 
 
 def test_line_of_unrelated_documents_and_a_copied_text(spark):

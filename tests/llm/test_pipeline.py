@@ -80,3 +80,15 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'text_lines' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_stages_on_odd_rows(spark, odd, empty, docs):
+    """Null ids and texts, repeated rows, two texts of one id, clashing columns, empty tables."""
+    wide = odd.withColumn("__number", odd["n"]).withColumn("row", odd["n"]).withColumn("__gone", odd["n"]).withColumn("__dropped", odd["n"])
+    want = {"quality rules": 0, "line dedup": 6, "near dedup": 4, "decontamination": 6}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns and out.count() == want[name], name
+        assert stage(spark, empty, SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, wide, SF)
+    assert packed.where("start = 0").count() == 6 and corpus_pipeline.packing(spark, empty, SF).count() == 0

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, release, with_numbers
+from .simhash import later_rows
 
 WIDTH = 5
 #: Documents of likeness J meet with 1 - (1 - J ** ROWS) ** KEYS: 0.9992 at 0.8.
 KEYS, ROWS = 24, 6
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_ORDERS = mix64(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64))
+_ORDERS = (mix64(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -40,45 +41,79 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        # odd multipliers, high bits mixed down
-        np.minimum(least, (((hashes[at : at + 1024, None] ^ _ORDERS) * (_ORDERS | np.uint64(1))) >> np.uint64(8)).min(axis=0), out=least)
+    """Keys from the least hashes in many orders, over the upper halves of the hashes."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_ORDERS), np.iinfo(np.uint32).max, np.uint32)
+    odd = _ORDERS | np.uint32(1)
+    for at in range(0, len(short), 512):
+        part = (short[at : at + 512, None] ^ _ORDERS) * odd
+        part ^= part >> np.uint32(15)
+        np.minimum(least, part.min(axis=0), out=least)
     out = np.arange(KEYS, dtype=np.uint64)
-    for row in least.reshape(KEYS, ROWS).T:
+    for row in least.astype(np.uint64).reshape(KEYS, ROWS).T:
         out = mix64(out ^ row)
     return out
 
 
-def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without those alike to a row with a smaller id that they meet.
+def alike_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
+    """``row``: the numbers of rows alike to one before them that they meet. Rows are in
+    order of id (none: last) and number. Shingles are held for rows that meet others only."""
+    keys_schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    sets_schema = pa.schema([("row", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
-    Rows of one id fare alike; rows without id stay."""
-    schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keys_of(shingle_hashes(t.as_py())).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], schema=keys_schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t.as_py()) for t in batch.column(1)]
-            lists = [pa.array([k.view(np.int64) for k in part], pa.list_(pa.int64())) for part in ([keys_of(h) for h in found], found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], schema=schema)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingle_hashes(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], schema=sets_schema)
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    nodes = materialize(texts.mapInArrow(run, "id long, keys array<long>, shingles array<long>"))
-    rows = materialize(nodes.select("id", F.explode("keys").alias("key")))
+    texts = rows.select(F.col(f"`{row_col}`").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    nodes = materialize(texts.mapInArrow(keys, "row long, id long, keys array<long>"))
+    places = nodes.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("k"), F.explode("keys").alias("key"))
+    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    places = materialize(places.join(shared, "key", "left_semi").select("k", "key"))
+    meeting = places.select(F.col("k.row").alias("row")).distinct()
+    sets = materialize(texts.join(meeting, "row", "left_semi").select("row", "text").mapInArrow(shingles, "row long, shingles array<long>"))
     gone, most = None, 1
-    sets = nodes.select("id", "shingles")
     while True:
-        least = F.array(F.min("id")) if most == 1 else F.slice(F.sort_array(F.collect_set("id")), 1, most)
-        pivots = rows.groupBy("key").agg(least.alias("pivots"), F.count("*").alias("n")).where("n > 1").select("key", "pivots")
-        met = materialize(rows.join(pivots, "key"))
-        pairs = met.select("id", F.explode("pivots").alias("pivot")).where("pivot < id").distinct()
-        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+        least = F.array(F.min("k")) if most == 1 else F.slice(F.sort_array(F.collect_set("k")), 1, most)
+        pivots = places.groupBy("key").agg(least.alias("pivots"), F.count("*").alias("n")).where("n > 1").select("key", "pivots")
+        met = materialize(places.join(pivots, "key"))
+        pairs = met.select("k", F.explode("pivots").alias("pivot")).where("pivot < k").select(F.col("k.row").alias("row"), F.col("pivot.row").alias("pivot")).distinct()
+        both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("pivot"), F.col("shingles").alias("other")), "pivot")
         common = F.size(F.array_intersect("shingles", "other"))
-        linked = materialize(both.where(common >= likeness * (F.size("shingles") + F.size("other") - common)).select("id").distinct())
+        linked = materialize(both.where(common >= likeness * (F.size("shingles") + F.size("other") - common)).select("row").distinct())
         gone = linked if gone is None else gone.unionByName(linked)
-        rows = materialize(met.where(~F.array_contains("pivots", F.col("id"))).join(linked, "id", "left_anti").select("id", "key"))
-        if rows.isEmpty():
-            break
+        left = met.where(~F.array_contains("pivots", F.col("k")))
+        places = materialize(left.join(linked, F.col("k.row") == F.col("row"), "left_anti").select("k", "key"))
+        release(met)
+        if places.isEmpty():
+            return gone.distinct()
         most *= 8
-    gone = gone.select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
+
+
+def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those alike to a row before them that they meet.
+
+    Rows are in order of id (none: last) and told apart by a number of their own, so
+    rows of one id, equal rows and rows without id count like any other. Null and empty
+    texts are alike. An empty table gives an empty result; all columns pass."""
+    rows, number = with_numbers(docs)
+    gone = alike_rows(rows, number, id_col, text_col, likeness)
+    return rows.join(gone, rows[number] == gone["row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
+    """SimHash near duplicates (:func:`.simhash.drop_near_duplicates`), then rows alike,
+    over one written table."""
+    rows, number = with_numbers(docs)
+    gone = later_rows(rows, number, id_col, text_col)
+    left = rows.join(gone, rows[number] == gone["row"], "left_anti")
+    both = materialize(gone.unionByName(alike_rows(left, number, id_col, text_col, likeness)))
+    return rows.join(both, rows[number] == both["row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -212,34 +214,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``doc_id, item_id, score, question_overlap, answer_overlap``: a row per row of
     ``docs`` and item found in it (an item counts once for a document).
 
-    Null, empty and short texts hold nothing; repeated rows are reported each; an
-    empty table on either side gives an empty result; further columns are ignored.
+    Null and empty texts hold nothing; rows without id are reported without one,
+    repeated rows each; items of equal text are found each, and an item repeated in
+    the benchmark counts once; an empty table on either side gives an empty result;
+    further columns are ignored.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = f"`{id_col}` long, item_id long, score double, question_overlap double, answer_overlap double"
     schema = pa.schema([(id_col, pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    out = spark.createDataFrame([], names)
-    for index in indexes(benchmark):
-        held = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def against(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in held.value.matches(t.as_py(), threshold)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, schema, strict=True)], schema=schema)
 
-        out = out.unionByName(plain.mapInArrow(run, names))
+        return plain.mapInArrow(run, names)
+
+    return _one_by_one(benchmark, against, spark.createDataFrame([], names), DataFrame.unionByName)
+
+
+def _one_by_one(benchmark: DataFrame, against: Callable, start: DataFrame, add: Callable) -> DataFrame:
+    """What ``against(index)`` gives for each index, added up. With several, each
+    result is written and its index freed before the next is sent, so no more than
+    one index of ``INDEX_ITEMS`` items is ever held, however large the benchmark."""
+    out, before = start, None
+    for index in indexes(benchmark):
+        if before is not None:
+            out = materialize(out)
+            before.destroy()
+        before = benchmark.sparkSession.sparkContext.broadcast(index)
+        out = add(out, against(before))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with their columns as they are."""
-    spark = docs.sparkSession
-    for index in indexes(benchmark):
-        held = spark.sparkContext.broadcast(index)
+    """The rows of ``docs`` in which no item is found, with their columns as they are.
 
-        docs = docs.where(~_leaks(held)(F.col(text_col).cast("string")))
-    return docs
+    Null and empty texts hold nothing and stay; repeated rows fare alike; ids play no
+    part; an empty table on either side drops nothing."""
+    return _one_by_one(benchmark, _leaks, docs, lambda left, leaks: left.where(~leaks(F.col(text_col).cast("string"))))
 
 
 def _leaks(held):

@@ -177,6 +177,12 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result. All columns of ``docs`` pass, but columns of the
     two new names are replaced.
     """
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("__lines", "__dropped")]
+    return _cleaned(docs, id_col, text_col, min_families).select(*rest, F.col("lines").alias("__lines"), F.col("dropped").alias("__dropped"))
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_families: int) -> DataFrame:
+    """``row, lines, dropped``: rows of ``docs`` with the text cut."""
     text = F.col(text_col).cast("string")
     names = docs.columns
     id_key, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
@@ -189,7 +195,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(_bound(_lines(F.col("__text")), lambda lines: F.array_join(_left(lines, F.col("__gone")), "\n")))
     columns = [(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in names]
     count = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text"))))
-    return held.select(*[c for c, name in zip(columns, names, strict=True) if name not in ("__lines", "__dropped")], count.cast("long").alias("__lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("__dropped"))
+    return held.select(F.struct(*columns).alias("row"), count.cast("long").alias("lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("dropped"))
 
 
 def _left(lines: Column, gone: Column) -> Column:
@@ -201,10 +207,14 @@ def _left(lines: Column, gone: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 64).cast("int")), block))
 
 
-def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without recurring lines; documents that lose all their words go. A
-    column ``n_chars`` is set to the new length."""
-    out = clean_lines(docs, id_col, text_col).where((F.col("__dropped") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES) -> DataFrame:
+    """``docs`` without recurring lines; documents that lose all their words go, others
+    stay, as do null and empty texts. A column ``n_chars`` is set to the new length.
+    All columns pass, whatever their names; an empty table gives an empty result."""
+    out = _cleaned(docs, id_col, text_col, min_families)
+    text = F.col("row").getField(text_col)
+    out = out.where((F.col("dropped") == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") == 0, F.col("n_chars")).otherwise(F.char_length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        length = F.when(F.col("dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("row", F.col("row").withField("n_chars", length))
+    return out.select("row.*")

@@ -200,8 +200,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with their columns as they are."""
-    model = estimate(docs.select(measured(docs, text_col).alias("m")).select("m.votes"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measured(docs, text_col).alias("m"))
+    """The rows of ``docs`` that :func:`judge` keeps, with their columns as they are.
+
+    Texts are measured once, and the measures written with the rows. Null, empty and
+    short texts go; repeated rows fare alike; an empty table gives an empty result."""
+    held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measured(docs, text_col).alias("m")))
+    model = estimate(held.select("m.votes"))
     good = ~base_failed(F.col("m.base")[0], F.col("m.base")[4]) & (posterior(model, F.col("m.votes")) >= THRESHOLD)
     return held.where(good).select("row.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_numbers
 
 RADIUS = 3
 BANDS = 4
@@ -50,16 +50,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: one row per input row; ``fp`` is a signed 64-bit integer."""
-    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)``, or ``(row, doc_id, fp)`` with a row number: one row per input
+    row; ``fp`` is a signed 64-bit integer."""
+    names = ["row"] * (row_col is not None) + [id_col]
+    schema = pa.schema([(c, pa.int64()) for c in (*names, "fp")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], schema=schema)
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(len(names))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(fp.view(np.int64))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` long, fp long")
+    number = [F.col(f"`{row_col}`").alias("row")] if row_col else []
+    return docs.select(*number, F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, ", ".join(f"`{c}` long" for c in (*names, "fp")))
 
 
 def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +193,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component.
+def later_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE) -> DataFrame:
+    """``row``: the numbers of all rows but one of each component. The row of the
+    smallest id stays (without id: after all others), of these the smallest number."""
+    marked = materialize(fingerprints(rows, id_col, text_col, row_col).withColumnRenamed(id_col, "id"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")))
+    tree = components(near_links(nodes.select("fp"), radius, tile_rows))
+    joined = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("stays"))
+    named = materialize(joined.select("fp", "root").join(least, "root").select("fp", F.col("stays.row").alias("stays")))
+    return materialize(marked.join(named, "fp").where("row <> stays").select("row"))
 
-    Repeated rows of one id count once; rows without id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each component.
+
+    Rows are told apart by a number of their own: rows of one id with unrelated texts
+    all stay, equal rows leave one, and rows without id count like any other. Null and
+    wordless texts are near duplicates of each other. An empty table gives an empty
+    result; all columns pass, whatever their names."""
+    rows, number = with_numbers(docs)
+    gone = later_rows(rows, number, id_col, text_col)
+    return rows.join(gone, rows[number] == gone["row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitsieve.llm.alike import drop_alike
+from unitsieve.llm.alike import drop_near
 from unitsieve.llm.common import materialize, table
 from unitsieve.llm.decontam import drop_contaminated
 from unitsieve.llm.line_templates import drop_template_lines
 from unitsieve.llm.packing import pack
 from unitsieve.llm.quality_rules import drop_low_quality
-from unitsieve.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_alike(materialize(drop_near_duplicates(docs)))
+    return drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -835,7 +835,7 @@ def test_long_text_of_many_lines(spark):
     rng = random.Random(65)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     notes = [f"note of the {word()} {word()} kind {word()}" for _ in range(50)]
-    rows = [(i, "\n".join([word(), *notes])) for i in range(12)]
+    rows = [(i, f"{word()} {word()} {word()} {word()}\n{notes[i % 50]}") for i in range(100, 700)]
     rows.append((99, "\n".join(notes[k % 50] if k % 2 else f"{word()} {word()} own" for k in range(30_000))))
     out = {r["doc_id"]: r for r in line_templates.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[99]["__dropped"] == 15_000 and out[99]["text"].split("\n") == rows[-1][1].split("\n")[::2]

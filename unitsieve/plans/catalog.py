@@ -90,8 +90,12 @@ _simple("match_literal_word", "regexp_matches(text, '(?:^|[^\\pL\\p{Nd}_])the(?:
 _simple("match_regex", "regexp_matches(text, 'th[a-z]+ing\\b')", "th[a-z]+ing\\b")
 _simple("match_regex_icase", "regexp_matches(text, '(?i)\\béT[a-zé]+s?')", "\\béT[a-zé]+s?", ignore_case=True)
 _simple("match_regex_word", "regexp_matches(text, '\\b(?:th[ae]|on)\\b')", "th[ae]|on", word=True)
-_simple("match_regex_classes", "regexp_matches(text, '[[:digit:]]{2,}[^\\s[:alpha:]]\\d+$')", "[[:digit:]]{2,}[^\\s[:alpha:]]\\d+$")
+_simple("match_regex_classes", "regexp_matches(text, '[[:alpha:]]{5}[^\\s[:alpha:]]$')", "[[:alpha:]]{5}[^\\s[:alpha:]]$")
+_simple("match_regex_properties", "regexp_matches(text, '^\\p{Lu}\\p{Ll}{3,}\\PL')", "^\\p{Lu}\\p{Ll}{3,}\\PL")
+_simple("match_regex_groups", "regexp_matches(text, '\\b(?P<head>th|wh)(?:e|a)(?P<tail>[rn])\\b')", "\\b(?P<head>th|wh)(?:e|a)(?P<tail>[rn])\\b")
 _simple("match_empty", "FALSE", "")
+_simple("match_empty_invert", "TRUE", "", invert=True)
+_simple("match_regex_invert", "NOT regexp_matches(text, '(?i)the[^a-z]')", "(?i)the[^a-z]", invert=True)
 
 
 @query("WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations) SELECT conv_id || ':' || turn AS path, CAST(i - 1 AS BIGINT) AS ord, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l) WHERE NOT contains(parts[i], 'the') AND NOT (i = len(parts) AND parts[i] = '')")
@@ -172,8 +176,36 @@ _context("context_both", 2, 1, 0)
 _context("context_capped", 1, 2, 2)
 
 
-@query("WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE source IN ('src1', 'src2')) SELECT CAST(doc_id AS VARCHAR) AS path, source, CAST(i - 1 AS BIGINT) AS ord FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM l) WHERE contains(p[i], 'tion')")
+@query(f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS path, ord, CAST(strpos(text, regexp_extract(text, '(?U)t[a-z]+e')) AS INTEGER) - 1 AS at, CAST(strlen(regexp_extract(text, '(?U)t[a-z]+e')) AS INTEGER) AS n_bytes FROM lines WHERE regexp_matches(text, '^[ -~]*$') AND regexp_matches(text, '(?U)t[a-z]+e')")
+def regex_ungreedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first match of the shortest kind, in lines of printable ASCII (where bytes are characters)."""
+    m = _matches(spark, sf_dir, "(?U)t[a-z]+e").where(F.col("text").rlike(r"\A[ -~]*\z"))
+    return m.select("path", "ord", F.col("spans")[0]["start"].alias("at"), (F.col("spans")[0]["end"] - F.col("spans")[0]["start"]).alias("n_bytes"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four formats in one table: ``path, content``."""
+    t = lambda name, path, content: _table(spark, sf_dir, name).select(path.alias("path"), F.col(content).alias("content"))
+    named = lambda c, ext: F.concat(F.col(c).cast("string"), F.lit(ext))
+    return t("documents", named("doc_id", ".txt"), "text").unionByName(t("events", named("event_id", ".json"), "props")).unionByName(t("pages", named("page_id", ".html"), "html")).unionByName(t("benchmark", named("item_id", ".md"), "text"))
+
+
+@query("SELECT event_id || '.json' AS path, 'json' AS format, '.' || substr(fullkey, 3) || ' = ' || CAST(atom AS VARCHAR) AS text FROM events, json_tree(props) WHERE atom IS NOT NULL AND contains(CAST(atom AS VARCHAR), '4')")
 def type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``--type json`` over files of four formats: each is recognised, one is searched."""
+    units = files.content_units(_mixed(spark, sf_dir), F.col("path"), F.col("content"), ("json",))
+    return ops.search(units, compile_pattern("4")).select("path", "format", "text")
+
+
+@query("SELECT 'text' AS format, count(*) AS files FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark) UNION ALL SELECT 'json', count(*) FROM events UNION ALL SELECT 'html', count(*) FROM pages")
+def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which format claims each of the mixed files."""
+    units = files.content_units(_mixed(spark, sf_dir), F.col("path"), F.col("content"))
+    return units.where("ord is null and error is null").groupBy("format").agg(F.count("*").alias("files"))
+
+
+@query("WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE source IN ('src1', 'src2')) SELECT CAST(doc_id AS VARCHAR) AS path, source, CAST(i - 1 AS BIGINT) AS ord FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM l) WHERE contains(p[i], 'tion')")
+def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = compile_pattern("tion")
     t = _table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2"))
     units = files.text_units(t, F.col("doc_id"), F.col("text"), "source", where=ops.document_prefilter(F.col("text"), m))
@@ -233,12 +265,12 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.where("ord is not null").select(F.regexp_replace("path", r"\.json\z", "").alias("path"), F.col("loc.jsonpath").alias("jsonpath"), "text")
 
 
-@query("SELECT conv_id || '.jsonl' AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS line, '.turn = ' || turn AS text FROM conversations")
+@query("WITH c AS (SELECT conv_id || '.jsonl' AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS line, * FROM conversations) SELECT path, line, '.turn = ' || turn AS text FROM c UNION ALL SELECT path, line, '.role = ' || CAST(to_json(role) AS VARCHAR) FROM c UNION ALL SELECT path, line, '.text = ' || replace(replace(replace(CAST(to_json(text) AS VARCHAR), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') FROM c")
 def jsonl_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "conversations")
     whole = t.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.to_json(r)), "\n").alias("content"))
     units = files.content_units(whole, F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")), F.col("content"), ("jsonl",))
-    return units.where("loc.jsonpath = '.turn'").select("path", F.col("loc.line").alias("line"), "text")
+    return units.where("ord is not null").select("path", F.col("loc.line").alias("line"), "text")
 
 
 @query("SELECT url AS path, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<]*[^ <][^<]*</title>')")
@@ -247,6 +279,23 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.where("loc.htmlpath like '%>title:nth-of-type(1)'").select(F.regexp_replace("path", r"#\.html\z", "").alias("path"), F.col("text").alias("title"))
 
 
+_UNESCAPED = "trim(regexp_replace(replace(replace(replace(@, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT url AS path, CAST(i AS INTEGER) AS n, {_UNESCAPED.replace('@', 'links[i]')} AS text FROM (SELECT url, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT url, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) AS links FROM pages)) WHERE {_UNESCAPED.replace('@', 'links[i]')} <> ''")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List items of the menu, with their place among their siblings."""
+    units = files.content_units(_table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("#.html")), F.col("html"), ("html",))
+    place = F.regexp_extract("loc.htmlpath", r"nav:nth-of-type\(1\)>ul:nth-of-type\(1\)>li:nth-of-type\((\d+)\)>a:nth-of-type\(1\)\z", 1)
+    return units.where(place != "").select(F.regexp_replace("path", r"#\.html\z", "").alias("path"), place.cast("int").alias("n"), "text")
+
+
+@query(f"SELECT url AS path, {_UNESCAPED.replace('@', 'h')} AS text FROM (SELECT url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages) WHERE {_UNESCAPED.replace('@', 'h')} <> ''")
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = files.content_units(_table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("#.html")), F.col("html"), ("html",))
+    return units.where("loc.htmlpath like '%>article:nth-of-type(1)>h1:nth-of-type(1)'").select(F.regexp_replace("path", r"#\.html\z", "").alias("path"), "text")
+
+
 @query()
 def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = files.content_units(_table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("#.html")), F.col("html"), ("html",))

@@ -39,17 +39,23 @@ def claim(path: str, data: bytes) -> str | None:
 
 
 def open_units(path: str, file: IO[bytes]) -> tuple[str | None, Iterator[Unit]]:
-    """The format that claims an open file, and its units. Where the name hints at
-    formats that read line by line, and the first bytes agree, the file is never held
-    whole; any other is read at once, as its format needs."""
+    """The format that claims an open file, and its units. Where the name hints at a
+    format that reads line by line, and the first bytes agree, and where the file is a
+    package of parts, it is never held whole; any other is read at once, as its format
+    needs."""
     base = os.path.basename(path)
     ext = os.path.splitext(base)[1].lower()
     hinted = [f for f in EXTRACTORS.values() if ext in f.extensions]
-    if hinted and hinted[0].stream is not None:
-        head = file.read(text.PEEK)
+    head = file.read(text.PEEK)
+    file.seek(0)
+    if hinted and hinted[0].stream is not None and hinted[0].sniff(path, head):
+        return hinted[0].name, hinted[0].stream(file)
+    if head[:2] == b"PK" and all(f.zipped for f in hinted):
+        zipped = [f for f in EXTRACTORS.values() if f.zipped]
+        for fmt in (*hinted, *(f for f in zipped if f not in hinted)):
+            if fmt.sniff(path, file):
+                return fmt.name, fmt.extract(file)
         file.seek(0)
-        if hinted[0].sniff(path, head):
-            return hinted[0].name, hinted[0].stream(file)
     data = file.read()
     name = claim(path, data)
     return name, iter(()) if name is None else EXTRACTORS[name].extract(data)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import IO
 from xml.parsers import expat
 
 from .registry import ExtractError
@@ -20,20 +22,26 @@ def _split(name: str) -> tuple[str, str]:
     return space, local
 
 
-def xml_events(data: bytes, part: str) -> Iterator[Event]:
-    """Events in order; an error comes after the events before it."""
+def xml_events(data: bytes | IO[bytes], part: str) -> Iterator[Event]:
+    """Events in order, read in steps; an error comes after the events before it."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
     queue: list[Event] = []
     parser = expat.ParserCreate(namespace_separator="\n")
     parser.buffer_text = True
     parser.StartElementHandler = lambda n, a: queue.append(("start", *_split(n), {_split(k)[1]: v for k, v in a.items()}))
     parser.EndElementHandler = lambda n: queue.append(("end", *_split(n), None))
     parser.CharacterDataHandler = lambda t: queue.append(("text", "", t, None))
-    for at in range(0, len(data) + 1, _STEP):
+    more = True
+    while more:
         error = None
         try:
-            parser.Parse(data[at : at + _STEP], at + _STEP > len(data))
+            step = source.read(_STEP)
+            more = bool(step)
+            parser.Parse(step, not more)
         except expat.ExpatError as e:
             error = ExtractError(f"decoding {part}: {e}")
+        except (zipfile.BadZipFile, OSError, EOFError, zlib.error) as e:
+            error = ExtractError(f"reading {part}: {e}")
         yield from queue
         queue.clear()
         if error:
@@ -41,27 +49,27 @@ def xml_events(data: bytes, part: str) -> Iterator[Event]:
 
 
 class Package:
-    """Parts of a zip file by name."""
+    """Parts of a zip file by name. From an open file, nothing but the part in hand is
+    held, and of that one step."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes | IO[bytes]) -> None:
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            self.zip = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
         except (zipfile.BadZipFile, OSError, ValueError) as e:
             raise ExtractError(f"not a zip file: {e}") from None
         self.names = set(self.zip.namelist())
 
-    def read(self, name: str) -> bytes:
+    def events(self, name: str) -> Iterator[Event]:
         try:
-            return self.zip.read(name)
+            part = self.zip.open(name)
         except Exception as e:
             raise ExtractError(f"opening {name}: {e}") from None
-
-    def events(self, name: str) -> Iterator[Event]:
-        return xml_events(self.read(name), name)
+        with part:
+            yield from xml_events(part, name)
 
 
-def has_parts(data: bytes, *names: str) -> bool:
-    if data[:2] != b"PK":
+def has_parts(data: bytes | IO[bytes], *names: str) -> bool:
+    if isinstance(data, bytes) and data[:2] != b"PK":
         return False
     try:
         return set(names) <= Package(data).names

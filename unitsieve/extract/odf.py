@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import IO
 
 from ..functions.paths import column_letters
 from .events import Event, Package, has_parts
@@ -78,7 +79,7 @@ def _segments(events: Iterator[Event], frames: bool, headings: bool) -> Iterator
 _CELL = ("table-cell", "covered-table-cell")
 
 
-def extract_odt(data: bytes) -> Iterator[Unit]:
+def extract_odt(data: bytes | IO[bytes]) -> Iterator[Unit]:
     paragraph = tables = 0
     heading, own, is_heading = "", "", False
     #: [number, row, column, repeats of the row]
@@ -123,7 +124,7 @@ def extract_odt(data: bytes) -> Iterator[Unit]:
             table.pop()
 
 
-def extract_ods(data: bytes) -> Iterator[Unit]:
+def extract_ods(data: bytes | IO[bytes]) -> Iterator[Unit]:
     """Repeated rows and cells come once, with their number as ``repeat``."""
     sheet, sheets, inside = "", 0, False
     row = column = 0
@@ -152,7 +153,7 @@ def extract_ods(data: bytes) -> Iterator[Unit]:
                 cell = None
 
 
-def extract_odp(data: bytes) -> Iterator[Unit]:
+def extract_odp(data: bytes | IO[bytes]) -> Iterator[Unit]:
     slide, notes = 0, False
     counts = {False: 0, True: 0}
     shapes: list[str] = []
@@ -175,7 +176,7 @@ def extract_odp(data: bytes) -> Iterator[Unit]:
                 shapes.pop()
 
 
-def kind_of(data: bytes) -> str | None:
+def kind_of(data: bytes | IO[bytes]) -> str | None:
     """odt, ods or odp, by the mimetype part or else by the body's first element."""
     if not has_parts(data, "content.xml"):
         return None
@@ -200,7 +201,7 @@ def kind_of(data: bytes) -> str | None:
 
 
 FORMATS = (
-    Format("odt", (".odt",), lambda _, data: kind_of(data) == "odt", extract_odt),
-    Format("ods", (".ods",), lambda _, data: kind_of(data) == "ods", extract_ods),
-    Format("odp", (".odp",), lambda _, data: kind_of(data) == "odp", extract_odp),
+    Format("odt", (".odt",), lambda _, data: kind_of(data) == "odt", extract_odt, zipped=True),
+    Format("ods", (".ods",), lambda _, data: kind_of(data) == "ods", extract_ods, zipped=True),
+    Format("odp", (".odp",), lambda _, data: kind_of(data) == "odp", extract_odp, zipped=True),
 )

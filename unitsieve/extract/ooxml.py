@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
+from typing import IO
 
 from ..functions.paths import column_letters, parse_cell
 from .events import Event, Package, has_parts
@@ -128,7 +129,7 @@ def _labelled(package: Package, part: str, kind: str, label: str, item: str | No
                 current = f"{label} {a.get('id') or count}"
 
 
-def extract_docx(data: bytes) -> Iterator[Unit]:
+def extract_docx(data: bytes | IO[bytes]) -> Iterator[Unit]:
     """Body, headers, footers, footnotes, comments. The first error is raised at the
     end, after the other parts."""
     package = Package(data)
@@ -179,7 +180,7 @@ def _shapes(events: Iterator[Event]) -> Iterator[tuple[str, str]]:
             inside = kind == "start"
 
 
-def extract_pptx(data: bytes) -> Iterator[Unit]:
+def extract_pptx(data: bytes | IO[bytes]) -> Iterator[Unit]:
     """Slides in presentation order, each followed by its notes; missing parts are
     passed over."""
     package = Package(data)
@@ -261,7 +262,7 @@ def _cells(events: Iterator[Event], shared: list[str]) -> Iterator[tuple[str, in
             inside = name if kind == "start" else ""
 
 
-def extract_xlsx(data: bytes) -> Iterator[Unit]:
+def extract_xlsx(data: bytes | IO[bytes]) -> Iterator[Unit]:
     """Sheets in tab order; a cell gives a unit for each of its non-empty lines."""
     package = Package(data)
     main = "xl/workbook.xml"
@@ -283,7 +284,7 @@ def extract_xlsx(data: bytes) -> Iterator[Unit]:
 
 
 FORMATS = (
-    Format("docx", (".docx",), lambda _, data: has_parts(data, "word/document.xml"), extract_docx),
-    Format("pptx", (".pptx",), lambda _, data: has_parts(data, "ppt/presentation.xml"), extract_pptx),
-    Format("xlsx", (".xlsx",), lambda _, data: has_parts(data, "xl/workbook.xml"), extract_xlsx),
+    Format("docx", (".docx",), lambda _, data: has_parts(data, "word/document.xml"), extract_docx, zipped=True),
+    Format("pptx", (".pptx",), lambda _, data: has_parts(data, "ppt/presentation.xml"), extract_pptx, zipped=True),
+    Format("xlsx", (".xlsx",), lambda _, data: has_parts(data, "xl/workbook.xml"), extract_xlsx, zipped=True),
 )

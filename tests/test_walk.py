@@ -81,3 +81,25 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "no.toml")) == config.Config()
     (tmp_path / "c.toml").write_text('color = "never"\nthreads = 2\nignore = ["*.x"]\n')
     assert config.load(str(tmp_path / "c.toml")) == config.Config("never", 2, ("*.x",))
+
+
+def test_threads_find_the_same(tmp_path):
+    """Any number of threads, an early stop, and a bound on what a walk of many files holds."""
+    import itertools
+    import tracemalloc
+
+    for i in range(40):
+        d = tmp_path / f"d{i}" / "in"
+        d.mkdir(parents=True)
+        (d / ".gitignore").write_text("*.no\n")
+        for k in range(50):
+            (d / f"{k}.txt").write_text("")
+        (d / "x.no").write_text("")
+    want = sorted(walk.walk([str(tmp_path)], threads=1))
+    assert len(want) == 40 * 51 and sorted(walk.walk([str(tmp_path)], threads=8)) == want
+    assert len(list(itertools.islice(walk.walk([str(tmp_path)], threads=4), 5))) == 5
+    tracemalloc.start()
+    n = sum(1 for _ in walk.walk([str(tmp_path)], threads=4))
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(want) and top < 16 << 20

@@ -43,7 +43,7 @@ def run(spark: SparkSession, pattern: str, roots: list[str], options: model.Sear
     failed = None
     exclude = (*ignore, *options.exclude)
     try:
-        for path in walk.walk([r for r in roots if "://" not in r], options.include, exclude, options.no_ignore, options.ignore_files):
+        for path in walk.walk([r for r in roots if "://" not in r], options.include, exclude, options.no_ignore, options.ignore_files, options.threads):
             found.append(path)
     except walk.MissingRoot as e:
         failed = e

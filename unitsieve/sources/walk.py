@@ -1,7 +1,7 @@
 """File enumeration with layered ignore rules.
 
-A walk is metadata work: it runs on the driver and yields paths one by one; file
-contents are read by the executors. Ignored directories are never entered.
+A walk is metadata work: it runs on the driver, in threads, and yields paths one by
+one; file contents are read by the executors. Ignored directories are never entered.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from functools import cache
 
@@ -94,34 +95,52 @@ def ignored(chain: list[tuple[int, list[Rule]]], parts: list[str], is_dir: bool)
     return out
 
 
-def walk(roots: Iterable[str], include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), no_ignore: bool = False, rule_files: tuple[str, ...] = RULE_FILES) -> Iterator[str]:
+#: A directory to list: path, parts below the root, rules above it.
+_Directory = tuple[str, list[str], list[tuple[int, list[Rule]]]]
+
+
+def _entries(at: _Directory, include: tuple[str, ...], exclude: tuple[str, ...], no_ignore: bool, rule_files: tuple[str, ...]) -> tuple[list[str], list[_Directory]]:
+    """The wanted files of a directory, and the directories below it to enter."""
+    directory, parts, chain = at
+    found: list[str] = []
+    below: list[_Directory] = []
+    try:
+        entries = sorted(os.scandir(directory), key=lambda e: e.name)
+    except OSError:
+        return found, below
+    if not no_ignore and (rules := read_rules(directory, rule_files)):
+        chain = [*chain, (len(parts), rules)]
+    for e in entries:
+        here = [*parts, e.name]
+        path = os.path.join(directory, e.name) if directory != "." else e.name
+        if e.is_dir(follow_symlinks=False):
+            if e.name not in VCS and not (chain and ignored(chain, here, True)):
+                below.append((path, here, chain))
+        elif not (chain and ignored(chain, here, False)) and wanted(path, include, exclude):
+            found.append(path)
+    return found, below
+
+
+def walk(roots: Iterable[str], include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), no_ignore: bool = False, rule_files: tuple[str, ...] = RULE_FILES, threads: int = 0) -> Iterator[str]:
     """Paths below the roots; a root that is a file is always given. A missing root
     raises :class:`MissingRoot` after the roots before it; an unreadable directory
     is skipped. Overlapping roots give a path twice. Links to directories are not
-    followed."""
-    for root in roots:
-        if not os.path.exists(root):
-            raise MissingRoot(f"{root}: no such file or directory")
-        if not os.path.isdir(root):
-            yield root
-            continue
-        stack: list[tuple[str, list[str], list[tuple[int, list[Rule]]]]] = [(root, [], [])]
-        while stack:
-            directory, parts, chain = stack.pop()
-            try:
-                entries = sorted(os.scandir(directory), key=lambda e: e.name)
-            except OSError:
+    followed. Directories are listed by ``threads`` at once (0: one for each core), and
+    a directory's files are given as soon as it is listed."""
+    with ThreadPoolExecutor(threads if threads > 0 else os.cpu_count()) as pool:
+        for root in roots:
+            if not os.path.exists(root):
+                raise MissingRoot(f"{root}: no such file or directory")
+            if not os.path.isdir(root):
+                yield root
                 continue
-            if not no_ignore and (rules := read_rules(directory, rule_files)):
-                chain = [*chain, (len(parts), rules)]
-            for e in entries:
-                here = [*parts, e.name]
-                path = os.path.join(directory, e.name) if directory != "." else e.name
-                if e.is_dir(follow_symlinks=False):
-                    if e.name not in VCS and not (chain and ignored(chain, here, True)):
-                        stack.append((path, here, chain))
-                elif not (chain and ignored(chain, here, False)) and wanted(path, include, exclude):
-                    yield path
+            running = {pool.submit(_entries, (root, [], []), include, exclude, no_ignore, rule_files)}
+            while running:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for job in done:
+                    found, below = job.result()
+                    running |= {pool.submit(_entries, d, include, exclude, no_ignore, rule_files) for d in below}
+                    yield from found
 
 
 def resolve_roots(paths: list[str], piped: bool) -> list[str]:

@@ -10,7 +10,7 @@ import re
 import tomllib
 from collections.abc import Iterator
 
-from ..functions.paths import Lines, append_index, append_key
+from ..functions.paths import append_index, append_key
 from .registry import ExtractError, Format, Unit
 
 MAX_SIZE = 8 << 20
@@ -19,7 +19,8 @@ _INLINE = re.compile(rb"[ \t]*")
 _COMMENT = re.compile(rb"#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*")
 _END = re.compile(rb"[ \t]*(?:\r?\n|\r?\Z)")
 _ESCAPE = rb"\\(?:[btnfre\"\\]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
-_BASIC = rb"\"(?:[^\"\\\x00-\x08\x0a-\x1f\x7f]|" + _ESCAPE + rb")*\""
+_LETTERS = rb"[^\"\\\x00-\x08\x0a-\x1f\x7f]*"
+_BASIC = rb"\"" + _LETTERS + rb"(?:" + _ESCAPE + _LETTERS + rb")*\""
 _PLAIN = rb"'[^'\x00-\x08\x0a-\x1f\x7f]*'"
 _TIME = rb"\d\d:\d\d(?::\d\d(?:\.\d+)?)?"
 _ATOM = (
@@ -217,16 +218,23 @@ def sniff(_: str, data: bytes) -> bool:
 
 
 def extract(data: bytes) -> Iterator[Unit]:
-    scanner, lines = _scan(data), Lines(data)
+    scanner = _scan(data)
+    filled = scanner.filled
+    row, start, end, text = 0, 0, -1, ""  # the line in hand; places come in order
     for kind, path, at in scanner.found:
-        if kind == "header" and path in scanner.filled:
+        if kind == "header" and path in filled:
             continue
-        row, col = lines.at(at)
-        text = lines.text(row).decode("utf-8", "replace")
+        if at > end:
+            while at > end:
+                row, start = row + 1, end + 1
+                end = data.find(b"\n", start)
+                if end < 0:
+                    end = len(data)
+            text = data[start:end].removesuffix(b"\r").decode("utf-8", "replace")
         if kind == "comment":
-            yield "toml_comment", {"line": row, "col": col, "comment": True}, text
+            yield "toml_comment", {"line": row, "col": at - start + 1, "comment": True}, text
         else:
-            yield "toml_path", {"tomlpath": path, "line": row, "col": col}, text
+            yield "toml_path", {"tomlpath": path, "line": row, "col": at - start + 1}, text
 
 
 FORMAT = Format("toml", (".toml",), sniff, extract)

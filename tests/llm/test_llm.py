@@ -155,6 +155,21 @@ def test_token_counts(docs, rows, odd, empty):
     assert token_counts.count_tokens(odd).count() == 6 and token_counts.count_tokens(empty).count() == 0
 
 
+def test_agreement_with_the_vocabularys_own_tokenizer(spark):
+    """No unigram file is at hand, so scores follow the vocabulary's order; how far the counts are from the tokenizer's own."""
+    import sentencepiece
+
+    path = token_counts.default_vocabulary()
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    trie = token_counts.Trie(token_counts.load_pieces(path))
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    words = Counter(w.decode() for r in texts for w in split(r["text"]))
+    pairs = [(n, trie.tokens("▁" + w), len(own.encode(w))) for w, n in words.items()]
+    total = sum(n for n, _, _ in pairs)
+    assert sum(n for n, a, b in pairs if a == b) > 0.78 * total
+    assert abs(sum(n * a for n, a, _ in pairs) / sum(n * b for n, _, b in pairs) - 1) < 0.08
+
+
 def test_trie_is_bounded(monkeypatch):
     trie = token_counts.Trie({"a": -1.0, "ab": -1.5})
     monkeypatch.setattr(token_counts, "TRIE_NODES", 10)

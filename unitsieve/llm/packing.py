@@ -5,8 +5,9 @@ and one remainder per document is left. Remainders are planned as a multiset: a
 histogram of lengths (fewer rows than the window has tokens) goes to the driver,
 where each step takes the longest length left and a bitset subset-sum dynamic
 programme finds the multiset that fills the window closest to capacity;
-backtracking gives its counts, and the fill is used as often as stock allows.
-A length that no fill closes exactly goes, with all its stock, to a final stream
+backtracking gives its counts, and the fill is used as often as stock allows. As
+documents may be cut anywhere, a fill is only taken where its slack is zero: a length
+that no fill closes exactly goes, with all its stock, to a final stream
 that is laid end to end and cut at window borders; the stream's tail is split into
 powers of two, which need no padding. The plan is a bounded table; documents find
 their place by their rank within their length, so no group is ever collected.

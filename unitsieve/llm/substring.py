@@ -224,7 +224,7 @@ def covered_spans(rows: DataFrame, window: int = WINDOW, kmer: int = KMER, most:
     if not kmer < window or not 1 <= most <= 63:
         raise ValueError("kmer must be below window, and a path has 1 to 63 windows")
     shared = materialize(minimisers(rows, window, kmer, most).groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1").select("mh"))
-    hits = materialize(all_paths(rows, window, kmer, most).join(shared, "mh", "left_semi"))
+    hits = materialize(all_paths(rows, window, kmer, most).join(shared.hint("shuffle_hash"), "mh", "left_semi"))
     release(shared)
     nodes = materialize(nodes_of(hits))
     forked = materialize(nodes.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh"))

@@ -37,23 +37,17 @@ CONSTANT = 0.6
 BROADCAST_LEAVES = 200_000
 AGREE = 0.8
 _VARIABLE = r"(?<![^ ])(?=[^ ]*?(?:[0-9@]|://))[^ ]+"
-_MAYBE_VARIABLE = r"[0-9@]|://"
-_ODD_BLANKS = r"[\x09-\x0D]|  "
+#: What a line must have for anything in it to be replaced.
+_REPLACED = r"[\x09-\x0D0-9@]|  |://"
 _BLANKS = r"[\x20\x09-\x0D]+"
-
-
-def _plain(line: Column) -> Column:
-    return F.trim(F.when(line.rlike(_ODD_BLANKS), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
-
-
-def _wild(plain: Column) -> Column:
-    return F.when(plain.rlike(_MAYBE_VARIABLE), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+_BLANK = " \t\n\x0b\f\r"
 
 
 def masked(line: Column) -> Column:
     """A line with single blanks between tokens and wildcards for variable ones. Most
-    lines need neither replacement, so both are behind a plain search."""
-    return _wild(_plain(line))
+    lines need no replacement, so both are behind one plain search."""
+    plain = F.trim(F.regexp_replace(line, _BLANKS, " "))
+    return F.when(line.rlike(_REPLACED), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(F.trim(line))
 
 
 def _lines(text: Column) -> Column:
@@ -71,20 +65,26 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _masked_lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """``no, line`` of every non-blank line of ``docs(text)``, and columns ``keep``."""
+    rows = docs.select(*keep, F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
+    return rows.where(F.trim("raw", F.lit(_BLANK)) != "").select(*keep, "no", masked(F.col("raw")).alias("line"))
+
+
 def parsed_lines(docs: DataFrame) -> DataFrame:
     """``i, t, no, exact, leaf, line`` of every non-blank line of ``docs(i, t, text)``."""
-    lines = F.transform(F.transform(F.transform(_lines(F.col("text")), _plain), _wild), lambda m, k: F.struct(k.alias("no"), m.alias("line")))
-    rows = docs.select("i", "t", F.explode(F.filter(lines, lambda p: p["line"] != "")).alias("p")).select("i", "t", "p.no", "p.line")
-    return rows.select("i", "t", "no", F.xxhash64("line").alias("exact"), _leaf(F.col("line")).alias("leaf"), "line")
+    return _masked_lines(docs, "i", "t").select("i", "t", "no", F.xxhash64("line").alias("exact"), _leaf(F.col("line")).alias("leaf"), "line")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``t, first, second`` of ``docs(t, text)``: for each order the least shingle hash
-    with its line, and the least one in all other lines."""
+    with its line, and the least one in all other lines. Shingles are brought to one
+    row a line where they are made."""
     orders = range(len(ORDERS))
-    lines = F.filter(F.transform(F.transform(_lines(F.col("text")), _plain), _wild), lambda m: m != "")
-    hashed = F.transform(lines, lambda m: F.struct(F.xxhash64(m).alias("exact"), _bound(F.split(m, " "), _shingles).alias("hashes")))
-    known = docs.select("t", F.transform(hashed, lambda p: F.struct(p["exact"].alias("exact"), F.array(*[_least(p["hashes"], s) for s in ORDERS]).alias("least"))).alias("lines"))
+    words = _masked_lines(docs, "t").select("t", F.xxhash64("line").alias("exact"), F.split("line", " ").alias("words"))
+    hashes = words.select("t", "exact", F.explode(_shingles(F.col("words"))).alias("h"))
+    lines = hashes.groupBy("t", "exact").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(ORDERS)])
+    known = lines.groupBy("t").agg(F.collect_list(F.struct("exact", F.array(*[f"m{j}" for j in orders]).alias("least"))).alias("lines"))
     known = known.select("t", "lines", F.array(*[_first(F.col("lines"), j) for j in orders]).alias("first"))
     return known.select("t", "first", F.array(*[_second(F.col("lines"), F.col("first"), j) for j in orders]).alias("second"))
 
@@ -96,10 +96,6 @@ def rest_keys(exact: Column, first: Column, second: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in orders[b::BANDS]]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for b in range(BANDS)])
 
 
-def _least(hashes: Column, order: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(order))))
-
-
 def _first(lines: Column, j: int) -> Column:
     """The least of an order, with its line."""
     return F.array_min(F.transform(lines, lambda p: F.when(p["least"][j].isNotNull(), F.struct(p["least"][j].alias("m"), p["exact"].alias("exact")))))
@@ -160,7 +156,7 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
         kinds, groups = F.broadcast(kinds), F.broadcast(groups)
     held = materialize(lines.join(kinds, "exact", "left_semi").groupBy("exact", "t").agg(F.min("i").alias("i")))
     texts = held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi"))
-    known = materialize(sketches(docs.join(texts, (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")).dropDuplicates(["t"]))
+    known = materialize(sketches(docs.join(texts, (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")))
     rest = materialize(held.join(known, "t").select("exact", rest_keys(F.col("exact"), F.col("first"), F.col("second")).alias("rest")).distinct())
     wide = families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
     return groups.join(wide, "g", "left_semi").select("exact").distinct()

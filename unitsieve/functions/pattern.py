@@ -256,7 +256,8 @@ class Matcher:
             cut = lambda p, sums: F.transform(F.slice(sums, 1, F.size(sums) - 1), lambda e, i: F.struct((e + i * width).alias("start"), (e + (i + 1) * width).alias("end")))
         else:
             cut = _regex_spans
-        return _bound(F.split(marked, "\x01", -1), lambda p: _bound(_sums(p), lambda sums: cut(p, sums)))
+        plain = self.literal and not self.ignore_case and not self.word
+        return _bound(F.split(marked, "\x01", -1), lambda p: _bound(_sums(p, not plain), lambda sums: cut(p, sums)))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -279,9 +280,10 @@ def _running(sizes: Column) -> Column:
     return F.aggregate(sizes, F.expr("cast(array() as array<int>)"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
 
 
-def _sums(pieces: Column) -> Column:
-    """Bytes of the text up to the end of each piece, marks left out."""
-    sizes = F.transform(pieces, lambda p: F.octet_length(F.replace(p, F.lit("\x02"), F.lit(""))))
+def _sums(pieces: Column, marked: bool) -> Column:
+    """Bytes of the text up to the end of each piece; ``marked``: all pieces but the
+    first hold a mark, which does not count."""
+    sizes = F.transform(pieces, lambda p, i: F.octet_length(p) - F.when(i > 0, 1).otherwise(0) if marked else F.octet_length(p))
 
     def blocks(sizes: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(_BLOCK)), lambda at: _running(F.slice(sizes, at, _BLOCK)))

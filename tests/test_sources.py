@@ -179,3 +179,19 @@ def test_spans_of_a_line_with_many_hits(spark, pattern, kw):
         last = b
     got = spark.createDataFrame([(text,)], "t string").select(compile_pattern(pattern, **kw).spans(F.col("t")).alias("s")).first()["s"]
     assert [(s["start"], s["end"]) for s in got] == want and len(want) > 1000
+
+
+def test_a_failing_sink_costs_one_line():
+    from unitsieve.sinks import output
+
+    class Bad(io.StringIO):
+        def write(self, text):
+            if "two" in text:
+                raise OSError("disk full")
+            if "three" in text:
+                raise RuntimeError
+            return super().write(text)
+
+    sink, warn = Bad(), io.StringIO()
+    assert output.emit(["one", "two", "three", "four"], sink, warn) == 2
+    assert sink.getvalue() == "one\nfour\n" and warn.getvalue() == "warning: writing a record: disk full\nwarning: writing a record: RuntimeError\n"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import IO
 
 from pyspark.sql import DataFrame
@@ -92,12 +92,15 @@ def summary_lines(per_file: DataFrame, count: bool) -> Iterator[str]:
         yield f"{path}:{r['match_count']}" if count else path
 
 
-def emit(lines: Iterator[str], stream: IO[str] | None = None) -> int:
+def emit(lines: Iterable[str], stream: IO[str] | None = None, warn: IO[str] | None = None) -> int:
+    """Writes lines; one that cannot be written is warned of, and the rest still come.
+    The number of lines written."""
     stream = stream or sys.stdout
     n = 0
     for line in lines:
-        stream.write(line + "\n")
-        n += 1
+        try:
+            stream.write(line + "\n")
+            n += 1
+        except Exception as e:  # whatever a sink raises concerns its line alone
+            print(f"warning: writing a record: {str(e) or type(e).__name__}", file=warn or sys.stderr)
     return n
-
-

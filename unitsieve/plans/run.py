@@ -62,7 +62,11 @@ def run(spark: SparkSession, pattern: str, roots: list[str], options: model.Sear
         walked = walked.unionByName(spark.createDataFrame([(model.STDIN,)], "path string"))
         if not options.types or "text" in options.types:
             parts.append(files.stdin_units(spark, stdin or b""))
-    units = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    units = reduce(DataFrame.unionByName, parts)
+    if options.max_count <= 0 and (options.invert or not (options.lead or options.trail)):
+        # nothing but hits and rows about files is asked for again
+        units = ops.flagged(units, matcher, options.invert).where("hit or text is null").drop("hit")
+    units = units.persist(StorageLevel.MEMORY_AND_DISK)
     matches = with_locations(ops.search(units, matcher, options))
     per_file = ops.counts(matches)
     searched = units.where("ord is null and error is null").select("path")

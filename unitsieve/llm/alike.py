@@ -78,7 +78,9 @@ def alike_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     places = nodes.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("k"), F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     places = materialize(places.join(shared, "key", "left_semi").select("k", "key"))
-    meeting = places.select(F.col("k.row").alias("row")).distinct()
+    release(nodes)
+    # written, so that its size is known before it meets the texts
+    meeting = materialize(places.select(F.col("k.row").alias("row")).distinct())
     sets = materialize(texts.join(meeting, "row", "left_semi").select("row", "text").mapInArrow(shingles, "row long, shingles array<long>"))
     gone, most = None, 1
     while True:
@@ -91,10 +93,12 @@ def alike_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
         linked = materialize(both.where(common >= likeness * (F.size("shingles") + F.size("other") - common)).select("row").distinct())
         gone = linked if gone is None else gone.unionByName(linked)
         left = met.where(~F.array_contains("pivots", F.col("k")))
-        places = materialize(left.join(linked, F.col("k.row") == F.col("row"), "left_anti").select("k", "key"))
-        release(met)
+        before, places = places, materialize(left.join(linked, F.col("k.row") == F.col("row"), "left_anti").select("k", "key"))
+        release(met, before)
         if places.isEmpty():
-            return gone.distinct()
+            gone = materialize(gone.distinct())
+            release(meeting, sets, places)
+            return gone
         most *= 8
 
 

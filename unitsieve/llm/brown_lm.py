@@ -455,6 +455,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     count = F.coalesce("n", F.lit(0))
     rare = rare.join(outside.select("word", "n"), "word", "left").groupBy(F.col("row").alias("rare_row")).agg(F.sum(F.col("times") * F.log10(count + F.lit(DELTA))).alias("rare_log"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     rare = materialize(rare)
+    release(vocabulary)
 
     names = "row long, id long, held_out boolean, n_tokens long, head_known long, base double, own double"
     schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +54,10 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    _written.append((spark, path))
+    held = (spark, path)
+    _written.append(held)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = (spark, path)
+    out._scratch = held
     return out
 
 
@@ -65,6 +68,28 @@ def release(*tables: DataFrame) -> None:
         _delete(*df._scratch)
 
 
+@contextmanager
+def recorded() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The tables that are written meanwhile and still there at the end."""
+    before = set(map(id, _written))
+    made: list[tuple[SparkSession, str]] = []
+    yield made
+    made += [x for x in _written if id(x) not in before]
+
+
+def sweep(tables: list[tuple[SparkSession, str]], docs: DataFrame) -> None:
+    """Deletes recorded tables that ``docs`` does not read."""
+    if not tables:
+        return
+    read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+    for held in list(tables):
+        if not any(r.endswith(held[1].split(":", 1)[-1].lstrip("/")) for r in read):
+            tables.remove(held)
+            if held in _written:
+                _written.remove(held)
+                _delete(*held)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -134,7 +134,7 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     seen = materialize(seen)
     exacts = seen.where(F.col("n") >= min_families).select("exact")
     crowded = seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_families) & (F.col("kinds") > 1)).select("leaf")
-    crowded = materialize(crowded)
+    leaves = crowded = materialize(crowded)
     if crowded.count() <= BROADCAST_LEAVES:
         crowded = F.broadcast(crowded)
     # one line of each kind, and only then its tokens
@@ -149,17 +149,20 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     groups = exacts.select("exact", F.xxhash64(F.lit(0), "exact").alias("g")).unionByName(matched.select("exact", F.xxhash64(F.lit(1), "leaf").alias("g")))
     groups = groups.join(seen.select("exact", "n"), "exact")
     wide = groups.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= min_families).select("g")
-    groups = materialize(groups.join(wide, "g", "left_semi").select("exact", "g"))
-    release(members)
+    kept = groups = materialize(groups.join(wide, "g", "left_semi").select("exact", "g"))
+    release(members, leaves)
     kinds = groups.select("exact").distinct()
     if groups.count() <= BROADCAST_LEAVES:
         kinds, groups = F.broadcast(kinds), F.broadcast(groups)
     held = materialize(lines.join(kinds, "exact", "left_semi").groupBy("exact", "t").agg(F.min("i").alias("i")))
-    texts = held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi"))
+    # written, so that its size is known before it meets the texts
+    texts = materialize(held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi")))
     known = materialize(sketches(docs.join(texts, (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")))
     rest = materialize(held.join(known, "t").select("exact", rest_keys(F.col("exact"), F.col("first"), F.col("second")).alias("rest")).distinct())
     wide = families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
-    return groups.join(wide, "g", "left_semi").select("exact").distinct()
+    recurring = materialize(groups.join(wide, "g", "left_semi").select("exact").distinct())
+    release(seen, kept, held, texts, known, rest)
+    return recurring
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES) -> DataFrame:
@@ -187,6 +190,8 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_families: int) ->
     drop = recurring_lines(lines, keyed, min_families)
     bits = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t"), F.floor(F.col("no") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, no % 64)")).alias("bits"))
     gone = bits.groupBy("__i", "__t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"), F.sum(F.bit_count("bits")).alias("__n"))
+    gone = materialize(gone)
+    release(lines, drop)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone, ["__i", "__t"], "left")
     new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(_bound(_lines(F.col("__text")), lambda lines: F.array_join(_left(lines, F.col("__gone")), "\n")))
     columns = [(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in names]

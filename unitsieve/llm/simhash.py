@@ -204,7 +204,9 @@ def later_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     joined = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("stays"))
     named = materialize(joined.select("fp", "root").join(least, "root").select("fp", F.col("stays.row").alias("stays")))
-    return materialize(marked.join(named, "fp").where("row <> stays").select("row"))
+    gone = materialize(marked.join(named, "fp").where("row <> stays").select("row"))
+    release(marked, nodes, named)
+    return gone
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -257,8 +257,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Further columns are ignored; an empty table gives an empty result.
     """
     rows = numbered(docs, id_col, text_col)
-    spans, _ = covered_spans(rows, window, kmer, most)
-    gone = spans.groupBy("row").agg(F.collect_list(F.struct("at", "length", "digest", "bits")).alias("gone"))
+    spans, tables = covered_spans(rows, window, kmer, most)
+    gone = materialize(spans.groupBy("row").agg(F.collect_list(F.struct("at", "length", "digest", "bits")).alias("gone")))
+    release(*tables)
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,8 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     tokens = members.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").count()
     common = tokens.groupBy("leaf", "pos").agg(F.max(F.struct("count", "token")).alias("top"), F.sum("count").alias("n")).where(F.col("top.count") * 2 > F.col("n"))
     trees = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
+    # written, so that a join with a leaf's many lines can be split
+    trees = materialize(trees)
     agree = F.aggregate(F.map_entries("fixed"), F.lit(0), lambda n, e: n + F.when(F.col("tokens")[e["key"]] == e["value"], 1).otherwise(0))
     matched = members.join(trees, "leaf").where((F.size("fixed") >= CONSTANT * F.size("tokens")) & (agree >= AGREE * F.size("fixed"))).select("exact", "leaf")
     # a group for each exact line and each template, if enough different texts have it
@@ -150,7 +152,7 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     groups = groups.join(seen.select("exact", "n"), "exact")
     wide = groups.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= min_families).select("g")
     kept = groups = materialize(groups.join(wide, "g", "left_semi").select("exact", "g"))
-    release(members, leaves)
+    release(members, leaves, trees)
     kinds = groups.select("exact").distinct()
     if groups.count() <= BROADCAST_LEAVES:
         kinds, groups = F.broadcast(kinds), F.broadcast(groups)

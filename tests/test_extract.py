@@ -199,3 +199,47 @@ def test_register():
         assert dispatch.claim("x.rev", b"abc") == "rev" and list(dispatch.EXTRACTORS)[-1] == "text"
     finally:
         del dispatch.EXTRACTORS["rev"]
+
+
+def test_ods_cells_after_repeats_and_sheets():
+    """Rows and columns go on after repeats; a sheet without a name is numbered; side notes stay out."""
+    cell = lambda t, n=1: f'<table:table-cell table:number-columns-repeated="{n}">' + (f"<text:p>{t}</text:p>" if t else "") + "</table:table-cell>"
+    one = f'<table:table table:name="A"><table:table-row>{cell("", 3)}{cell("d")}{cell("e", 2)}{cell("g")}</table:table-row><table:table-row table:number-rows-repeated="1048570"/><table:table-row>{cell("x<text:line-break/>y")}<table:covered-table-cell/>{cell("c")}</table:table-row></table:table>'
+    two = f'<table:table><table:table-row table:number-rows-repeated="2">{cell("p", 2)}<table:table-cell><office:annotation><text:p>no</text:p></office:annotation><text:p>q</text:p></table:table-cell></table:table-row></table:table>'
+    got = [(u[1]["sheet"], u[1]["cell"], u[1]["repeat"], u[2]) for u in odf.extract_ods(render._odf("spreadsheet", one + two))]
+    assert got == [("A", "D1", 1, "d"), ("A", "E1", 2, "e"), ("A", "G1", 1, "g"), ("A", "A1048572", 1, "x"), ("A", "A1048572", 1, "y"), ("A", "C1048572", 1, "c"), ("Sheet2", "A1", 4, "p"), ("Sheet2", "C1", 2, "q")]
+
+
+def test_pptx_notes_unnamed_shapes_and_missing_parts():
+    """Slides in the order of the presentation, notes by the slide's own relations."""
+    p, a, r = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shape = lambda name, *ts: f'<p:sp>{"" if name is None else f"<p:nvSpPr><p:cNvPr id=\"1\" name=\"{name}\"/></p:nvSpPr>"}<p:txBody>' + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in ts) + "<a:p/></p:txBody></p:sp>"
+    slide = lambda *shapes: f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{"".join(shapes)}</p:spTree></p:cSld></p:sld>'
+    rels = lambda *xs: '<Relationships xmlns="x">' + "".join(f'<Relationship Id="{i}" Type="{r}/{k}" Target="{t}"/>' for i, k, t in xs) + "</Relationships>"
+    data = render.package(
+        {
+            "ppt/presentation.xml": f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId id="256" r:id="r2"/><p:sldId id="257" r:id="r9"/><p:sldId id="258" r:id="r1"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": rels(("r1", "slide", "slides/slide1.xml"), ("r2", "slide", "slides/slide2.xml"), ("r9", "slide", "slides/none.xml")),
+            "ppt/slides/slide1.xml": slide(shape("Body", "last")),
+            "ppt/slides/slide2.xml": slide(shape(None, "first", "second"), shape("", "third")),
+            "ppt/slides/_rels/slide2.xml.rels": rels(("n", "notesSlide", "../notesSlides/notesSlide7.xml")),
+            "ppt/notesSlides/notesSlide7.xml": slide(shape("Notes", "say it")),
+        }
+    )
+    got = [(u[0], u[1]["slide"], u[1].get("shape"), u[2]) for u in ooxml.extract_pptx(data)]
+    assert got == [("pptx_shape", 1, "Shape 1", "first"), ("pptx_shape", 1, "Shape 1", "second"), ("pptx_shape", 1, "Shape 2", "third"), ("pptx_notes", 1, None, "say it"), ("pptx_shape", 3, "Body", "last")]
+
+
+def test_yaml_documents_anchors_and_keys():
+    """Several documents are numbered, aliases are leaves, keys keep their spelling."""
+    got = [(u[1]["line"], u[1]["col"], u[2]) for u in yaml.extract(b"a: &x {k: 1}\nb: *x\n---\n- 2\n- [3, {c d: q}]\n---\ntrue: y\n")]
+    assert got == [(1, 11, ".document[0].a.k = 1"), (2, 4, ".document[0].b = *x"), (4, 3, ".document[1].[0] = 2"), (5, 4, ".document[1].[1][0] = 3"), (5, 13, '.document[1].[1][1].["c d"] = q'), (7, 7, ".document[2].true = y")]
+
+
+def test_docx_comments_and_broken_parts():
+    """Parts after a broken one still come; its error is raised at the end."""
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    data = render.package({"word/document.xml": f"<w:document {W}><w:body><w:p>{run('body')}</w:p>", "word/comments.xml": f'<w:comments {W}><w:comment w:id="4"><w:p>{run("note")}</w:p><w:p/></w:comment></w:comments>', "word/footer1.xml": f"<w:ftr {W}><w:p>{run('foot')}</w:p></w:ftr>"})
+    out, error = partial(ooxml.extract_docx(data))
+    assert [(u[0], u[1].get("label"), u[2]) for u in out] == [("docx_paragraph", None, "body"), ("docx_header_footer", "Footer 1", "foot"), ("docx_comment", "Comment 4", "note")]
+    assert "word/document.xml" in error

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from typing import IO
 
 from ..functions.paths import column_letters
@@ -124,33 +125,59 @@ def extract_odt(data: bytes | IO[bytes]) -> Iterator[Unit]:
             table.pop()
 
 
+@dataclass
+class _Run:
+    """A row or cell that stands for ``size`` equal ones from ``first`` on."""
+
+    first: int
+    size: int
+
+    def after(self, repeats: str | None) -> _Run:
+        return _Run(self.first + self.size, _number(repeats))
+
+
+@dataclass
+class _Sheet:
+    name: str
+    row: _Run = field(default_factory=lambda: _Run(0, 1))
+    cell: _Run = field(default_factory=lambda: _Run(0, 1))
+    in_cell: bool = False
+
+    def open_row(self, attributes: dict) -> None:
+        self.row = self.row.after(attributes.get("number-rows-repeated"))
+        self.cell = _Run(0, 1)
+
+    def open_cell(self, attributes: dict) -> None:
+        self.cell = self.cell.after(attributes.get("number-columns-repeated"))
+        self.in_cell = True
+
+    def unit(self, text: str) -> Unit:
+        row, column = self.row.first, self.cell.first
+        return "ods_cell", {"sheet": self.name, "cell": f"{column_letters(column)}{row}", "row": row, "col": column, "repeat": self.row.size * self.cell.size}, text
+
+
 def extract_ods(data: bytes | IO[bytes]) -> Iterator[Unit]:
     """Repeated rows and cells come once, with their number as ``repeat``."""
-    sheet, sheets, inside = "", 0, False
-    row = column = 0
-    rows = 1
-    cell: tuple[int, int] | None = None
+    sheets = 0
+    sheet: _Sheet | None = None
     for kind, value, a in _segments(Package(data).events("content.xml"), False, False):
-        if kind == "segment":
-            if cell and value.strip():
-                yield "ods_cell", {"sheet": sheet, "cell": f"{column_letters(cell[0])}{row}", "row": row, "col": cell[0], "repeat": cell[1] * rows}, value
-        elif kind == "start":
-            if value == "table":
-                sheets += 1
-                sheet, inside, row = a.get("name") or f"Sheet{sheets}", True, 0
-            elif value == "table-row" and inside:
-                row, column, rows = row + 1, 0, _number(a.get("number-rows-repeated"))
-            elif value in _CELL and inside:
-                column += 1
-                cell = column, _number(a.get("number-columns-repeated"))
-        elif kind == "end":
-            if value == "table":
-                inside = False
-            elif value == "table-row" and inside:
-                row += rows - 1
-            elif value in _CELL:
-                column += cell[1] - 1 if cell else 0
-                cell = None
+        if kind == "start" and value == "table":
+            sheets += 1
+            sheet = _Sheet(a.get("name") or f"Sheet{sheets}")
+        elif sheet is None:
+            continue
+        elif kind == "segment":
+            if sheet.in_cell and value.strip():
+                yield sheet.unit(value)
+        elif value == "table":
+            sheet = None
+        elif value == "table-row" and kind == "start":
+            sheet.open_row(a)
+        elif value in _CELL:
+            if kind == "start":
+                sheet.open_cell(a)
+            else:
+                sheet.in_cell = False
 
 
 def extract_odp(data: bytes | IO[bytes]) -> Iterator[Unit]:

@@ -101,3 +101,14 @@ def test_stream_equals_batch(spark, tmp_path, options):
     got = {(r["path"], r["ord"]) for r in spark.table(name).collect()}
     batch = ops.search(spark.createDataFrame(rows, "path string, ord long, text string"), compile_pattern("hit"), options)
     assert got == {(r["path"], r["ord"]) for r in batch.collect()}
+
+
+def test_uris_in_the_engine(spark):
+    """Expressions of the engine encode as the functions for single paths do."""
+    from pyspark.sql import functions as F
+
+    from unitsieve.functions import paths
+
+    every = ["/a b/c+d#e?f%.txt", "rel/é ß日.md", "./x", "../up/./y//z", "/..", "/a/..", "/a/b/", "a~$&,:;=@!'()*-_.txt", '"<>[]{}|^`\\', "hdfs://host:9/a b/c%20d", "."]
+    rows = spark.createDataFrame([(x,) for x in every], "p string").select("p", paths.file_uri_column(F.col("p")).alias("u"), paths.fragment_column(F.col("p")).alias("f")).collect()
+    assert [(r["p"], r["u"], r["f"]) for r in rows] == [(x, paths.file_uri(x), paths.fragment(x)) for x in every]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +41,19 @@ def location(path: Column, text: Column) -> Column:
 
 
 def with_uris(matches: DataFrame) -> DataFrame:
-    """Adds ``uri``. Paths are made absolute and encoded once for each distinct
-    value of a batch; the suffix follows from the location."""
-
-    @F.pandas_udf("string")
-    def uri(path: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return path.map(lambda p: known.get(p) or known.setdefault(p, paths.file_uri(p)))
-
-    @F.pandas_udf("string")
-    def part(name: pd.Series) -> pd.Series:
-        return name.map(lambda n: None if n is None else paths.fragment(n))
-
+    """Adds ``uri``: the path made absolute and encoded, and a suffix that follows from
+    the location."""
     kind, loc = F.col("loc_kind"), F.col("loc")
     line_col = F.when(F.coalesce(loc["line"], F.lit(0)) > 0, F.concat(F.lit(":"), loc["line"], F.lit(":"), F.coalesce(loc["col"], F.lit(1)))).otherwise(F.lit(""))
     sheet = F.when(loc["sheet"].rlike(r"\A[\p{L}\p{N}_]+\z"), loc["sheet"]).otherwise(F.concat(F.lit("'"), F.replace(loc["sheet"], F.lit("'"), F.lit("''")), F.lit("'")))
     suffix = (
         F.when(kind.isin("text_line", "json_path", "jsonl_path", "jsonc_comment", "yaml_path", "toml_path", "toml_comment", "xml_path", "html_path"), line_col)
         .when(kind.isin("pptx_shape", "odp_shape"), F.concat(F.lit("#"), loc["slide"]))
-        .when(kind.isin("xlsx_cell", "ods_cell"), part(F.concat(sheet, F.lit("!"), loc["cell"])))
+        .when(kind.isin("xlsx_cell", "ods_cell"), paths.fragment_column(F.concat(sheet, F.lit("!"), loc["cell"])))
         .otherwise(F.lit(""))
     )
     linked = ~kind.isin("docx_header_footer", "docx_footnote", "docx_comment", "pptx_notes", "odp_notes") & (F.col("path") != "-")
-    return matches.withColumn("uri", F.when(linked, F.concat(uri(F.col("path")), suffix)).otherwise(F.lit("")))
+    return matches.withColumn("uri", F.when(linked, F.concat(paths.file_uri_column(F.col("path")), suffix)).otherwise(F.lit("")))
 
 
 def with_locations(matches: DataFrame) -> DataFrame:

@@ -154,15 +154,47 @@ def wanted_column(path: Column, include: tuple[str, ...] = (), exclude: tuple[st
     return keep & any_of(include) if include else keep
 
 
+#: Characters that stay as they are in a URI's path; in a fragment the question mark too.
+_URI_SAFE = "/-_.~$&+,:;=@!'()*"
+
+
+def percent_column(text: Column, safe: str) -> Column:
+    """Percent-encoding of everything but letters, digits and ``safe``."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in safe:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def absolute_column(path: Column) -> Column:
+    """A path from the root, without ``.``, ``..`` and doubled slashes."""
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(os.getcwd().rstrip("/") + "/"), path))
+    empty = F.expr("cast(array() as array<string>)")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(full, "/"), empty, lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    odd = full.rlike(r"//|/\.{1,2}(?:/|\z)|./\z")
+    return F.when(odd, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(full)
+
+
+def file_uri_column(path: Column) -> Column:
+    """:func:`file_uri` as an expression of the engine."""
+    stored = path.contains("://")
+    return F.when(stored, percent_column(path, _URI_SAFE + "%")).otherwise(F.concat(F.lit("file://"), percent_column(absolute_column(path), _URI_SAFE)))
+
+
+def fragment_column(text: Column) -> Column:
+    return F.concat(F.lit("#"), percent_column(text, _URI_SAFE + "?"))
+
+
 def file_uri(path: str) -> str:
     """The URI of a local path; a path that names its storage is one already."""
     if "://" in path:
-        return percent(path, safe="/-_.~$&+,:;=@!'()*%")
-    return "file://" + percent(os.path.abspath(path), safe="/-_.~$&+,:;=@!'()*")
+        return percent(path, safe=_URI_SAFE + "%")
+    return "file://" + percent(os.path.abspath(path), safe=_URI_SAFE)
 
 
 def fragment(text: str) -> str:
-    return "#" + percent(text, safe="/-_.~$&+,:;=@!?'()*")
+    return "#" + percent(text, safe=_URI_SAFE + "?")
 
 
 def escape_controls(column: Column) -> Column:

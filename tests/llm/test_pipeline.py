@@ -92,3 +92,26 @@ def test_stages_on_odd_rows(spark, odd, empty, docs):
         assert stage(spark, empty, SF).count() == 0, name
     packed = corpus_pipeline.STAGES[-1][1](spark, wide, SF)
     assert packed.where("start = 0").count() == 6 and corpus_pipeline.packing(spark, empty, SF).count() == 0
+
+
+def test_a_bucket_of_documents_that_are_not_alike(spark):
+    """Many documents meet without being alike: several rounds, none lost, links among them found."""
+    import random
+
+    from unitsieve.llm import alike
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(80):
+        mine = list(base)
+        for at in range(i % 7, 150, 18):  # far from all others, near in keys
+            mine[at] = word()
+        rows.append((i, " ".join(mine)))
+    rows += [(200 + i, rows[70][1] + f" {word()}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(alike.shingle_hashes(t).tolist()) for _, t in rows]
+    left = {r["doc_id"] for r in alike.drop_alike(docs).collect()}
+    alone = [rows[k][0] for k in range(len(rows)) if not any(len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) for j in range(k))]
+    assert left == set(alone) and 80 <= len(left) <= 81 and not {200, 201, 202} & left

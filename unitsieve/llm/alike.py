@@ -5,7 +5,8 @@ SimHash's three bits find copies that differ little; documents with a shingle li
 least hashes meet, and each meeting is checked over all their shingles. In a bucket all
 compare with the smallest, the linked ones leave, and the others go on with more of the
 smallest at a time until none is left. So no two documents that meet and are alike both
-stay, and a group of copies costs no square of its size.
+stay, and a group of copies costs no square of its size. Documents that meet and are not
+alike enough are all compared, as each may be alike to a third.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, release, with_numbers
@@ -24,6 +25,8 @@ from .simhash import later_rows
 WIDTH = 5
 #: Documents of likeness J meet with 1 - (1 - J ** ROWS) ** KEYS: 0.9992 at 0.8.
 KEYS, ROWS = 24, 6
+#: Of a bucket so many at most are compared with all others at once.
+MOST = 512
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ORDERS = (mix64(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -84,9 +87,11 @@ def alike_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     sets = materialize(texts.join(meeting, "row", "left_semi").select("row", "text").mapInArrow(shingles, "row long, shingles array<long>"))
     gone, most = None, 1
     while True:
-        least = F.array(F.min("k")) if most == 1 else F.slice(F.sort_array(F.collect_set("k")), 1, most)
-        pivots = places.groupBy("key").agg(least.alias("pivots"), F.count("*").alias("n")).where("n > 1").select("key", "pivots")
-        met = materialize(places.join(pivots, "key"))
+        # the smallest of each key; ranks are cut in every task before keys meet
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("k"))
+        least = places.withColumn("rank", rank).where(F.col("rank") <= most)
+        pivots = materialize(least.groupBy("key").agg(F.collect_list("k").alias("pivots")))
+        met = places.join(pivots, "key")
         pairs = met.select("k", F.explode("pivots").alias("pivot")).where("pivot < k").select(F.col("k.row").alias("row"), F.col("pivot.row").alias("pivot")).distinct()
         both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("pivot"), F.col("shingles").alias("other")), "pivot")
         common = F.size(F.array_intersect("shingles", "other"))
@@ -94,12 +99,12 @@ def alike_rows(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
         gone = linked if gone is None else gone.unionByName(linked)
         left = met.where(~F.array_contains("pivots", F.col("k")))
         before, places = places, materialize(left.join(linked, F.col("k.row") == F.col("row"), "left_anti").select("k", "key"))
-        release(met, before)
+        release(pivots, before)
         if places.isEmpty():
             gone = materialize(gone.distinct())
             release(meeting, sets, places)
             return gone
-        most *= 8
+        most = min(8 * most, MOST)
 
 
 def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:

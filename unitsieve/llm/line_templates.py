@@ -157,13 +157,13 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     if groups.count() <= BROADCAST_LEAVES:
         kinds, groups = F.broadcast(kinds), F.broadcast(groups)
     held = materialize(lines.join(kinds, "exact", "left_semi").groupBy("exact", "t").agg(F.min("i").alias("i")))
-    # written, so that its size is known before it meets the texts
-    texts = materialize(held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi")))
-    known = materialize(sketches(docs.join(texts, (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")))
+    # both joins with texts sort and merge at any size, so that none depends on a side being small
+    chosen = materialize(held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi")))
+    known = materialize(sketches(docs.join(chosen.hint("merge"), (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")))
     rest = materialize(held.join(known, "t").select("exact", rest_keys(F.col("exact"), F.col("first"), F.col("second")).alias("rest")).distinct())
     wide = families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
     recurring = materialize(groups.join(wide, "g", "left_semi").select("exact").distinct())
-    release(seen, kept, held, texts, known, rest)
+    release(seen, kept, held, chosen, known, rest)
     return recurring
 
 
@@ -194,7 +194,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_families: int) ->
     gone = bits.groupBy("__i", "__t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"), F.sum(F.bit_count("bits")).alias("__n"))
     gone = materialize(gone)
     release(lines, drop)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone, ["__i", "__t"], "left")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text.alias("__text"), id_key.alias("__i"), text_key.alias("__t")).join(gone.hint("merge"), ["__i", "__t"], "left")
     new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(_bound(_lines(F.col("__text")), lambda lines: F.array_join(_left(lines, F.col("__gone")), "\n")))
     columns = [(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in names]
     count = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text"))))

@@ -69,6 +69,8 @@ ODD_MARKUP = {
     "<article><p>It is long. " + "word " * 200_000 + "</p></article>": "It is long. " + " ".join(["word"] * 200_000),
     "<p" + " a='b'" * 50_000: "",
     "<" * 50_000 + "<b>": None,
+    "<article>" + "<div>" * 30_000 + "deep</i>" * 3 + "</div>" * 30_000 + "</article>": "deepdeepdeep",
+    "<article><p>" + "<b>x</i></b>" * 30_000 + "</p></article>": "x" * 30_000,
 }
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,26 +82,33 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; section 0 lies outside all articles."""
     page = page.replace("\x00", "")
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, section, in a link
+    # name, boilerplate, section, in a link, dropped, in foreign markup
+    stack: list[tuple[str, bool, int, bool, bool, bool]] = []
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = sections = 0
 
-    def now() -> tuple[bool, int, bool]:
-        return (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, False)
+    def now() -> tuple[bool, int, bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, 0, False, False, False)
+
+    def close(depth: int, all_above: bool = True) -> None:
+        gone = stack[depth:] if all_above else [stack[depth]]
+        is_open.subtract(x[0] for x in gone)
+        del stack[depth : len(stack) if all_above else depth + 1]
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                boiler, section, _ = now()
+                boiler, section = now()[:2]
                 out.append(Block(text, linked, section, boiler, any(x[0] in _HEAD for x in stack[-3:])))
             parts.clear()
             linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not any(x[0] in _DROPPED for x in stack):
+        if raw and not now()[3]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if now()[2]:
@@ -123,22 +131,20 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if is_open[name] > 0 else ():
                 if stack[depth][0] == name:
-                    if name in _BLOCK or not any(x[0] in _BLOCK for x in stack[depth:]):
-                        del stack[depth:]
-                    else:  # an inline end tag does not close the blocks it crosses
-                        del stack[depth]
+                    # an inline end tag does not close the blocks it crosses
+                    close(depth, name in _BLOCK or not any(x[0] in _BLOCK for x in stack[depth:]))
                     break
-        elif name not in _VOID and not (m[3].endswith("/") and (name in _FOREIGN or any(x[0] in _FOREIGN for x in stack))):
+        elif name not in _VOID and not (m[3].endswith("/") and (name in _FOREIGN or now()[4])):
             if name in _CLOSES_P:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == "p" or (name == "li" and stack[depth][0] == "li"):
-                        del stack[depth:]
+                        close(depth)
                         break
                     if stack[depth][0] in _BLOCK:
                         break
-            boiler, section, link = now()
+            boiler, section, link, dropped, foreign = now()
             if name in ("article", "main") and not boiler and not section:
                 sections += 1
                 section = sections
@@ -148,7 +154,8 @@ def blocks_of(page: str) -> list[Block]:
                 if m[3] and not boiler and name not in ("html", "body"):
                     hint = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3]))
                     boiler = bool((hint and (_HINT_INSIDE if section else _HINT_OUTSIDE).search(hint)) or _HIDDEN.search(m[3]))
-            stack.append((name, boiler, section, link or name == "a"))
+            stack.append((name, boiler, section, link or name == "a", dropped or name in _DROPPED, foreign or name in _FOREIGN))
+            is_open[name] += 1
     say(page[at:])
     flush()
     return out

@@ -150,7 +150,8 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     # a group for each exact line and each template, if enough different texts have it
     groups = exacts.select("exact", F.xxhash64(F.lit(0), "exact").alias("g")).unionByName(matched.select("exact", F.xxhash64(F.lit(1), "leaf").alias("g")))
     groups = groups.join(seen.select("exact", "n"), "exact")
-    wide = groups.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= min_families).select("g")
+    # written, as are the families below, so that joins with a group's many lines can be split
+    wide = materialize(groups.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= min_families).select("g"))
     kept = groups = materialize(groups.join(wide, "g", "left_semi").select("exact", "g"))
     release(members, leaves, trees)
     kinds = groups.select("exact").distinct()
@@ -161,7 +162,7 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     chosen = materialize(held.groupBy(F.col("t").alias("ht")).agg(F.min("i").alias("hi")))
     known = materialize(sketches(docs.join(chosen.hint("merge"), (F.col("i") == F.col("hi")) & (F.col("t") == F.col("ht")), "left_semi")))
     rest = materialize(held.join(known, "t").select("exact", rest_keys(F.col("exact"), F.col("first"), F.col("second")).alias("rest")).distinct())
-    wide = families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families)
+    wide = materialize(families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families))
     recurring = materialize(groups.join(wide, "g", "left_semi").select("exact").distinct())
     release(seen, kept, held, chosen, known, rest)
     return recurring

@@ -126,10 +126,11 @@ def families(rows: DataFrame) -> DataFrame:
     return nodes.select("g", "node").join(roots.where("node <> root"), "node", "left").groupBy("g").agg((F.count("*") - F.count("root")).alias("families"))
 
 
-def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_FAMILIES) -> DataFrame:
+def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_FAMILIES) -> tuple[DataFrame, DataFrame]:
     """``exact``: hashes of the masked lines whose template recurs in ``docs(i, t,
-    text)``. Lines of different texts are counted first; only documents with a line in
-    enough of them are looked at again, each text once."""
+    text)``; and the written table ``lines`` anew without what is not needed further,
+    in place of the one given. Lines of different texts are counted first; only
+    documents with a line in enough of them are looked at again, each text once."""
     seen = lines.select("exact", "leaf", "t").distinct().groupBy("exact").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"))
     seen = materialize(seen)
     exacts = seen.where(F.col("n") >= min_families).select("exact")
@@ -140,6 +141,8 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     # one line of each kind, and only then its tokens
     members = lines.join(crowded, "leaf", "left_semi").groupBy("exact").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
     members = materialize(members.select("exact", "leaf", F.split("line", " ").alias("tokens")))
+    whole, lines = lines, materialize(lines.select("i", "t", "no", "exact"))
+    release(whole)
     tokens = members.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").count()
     common = tokens.groupBy("leaf", "pos").agg(F.max(F.struct("count", "token")).alias("top"), F.sum("count").alias("n")).where(F.col("top.count") * 2 > F.col("n"))
     trees = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("top.token").alias("token")))).alias("fixed"))
@@ -165,7 +168,7 @@ def recurring_lines(lines: DataFrame, docs: DataFrame, min_families: int = MIN_F
     wide = materialize(families(rest.join(groups, "exact").select("g", "rest")).where(F.col("families") >= min_families))
     recurring = materialize(groups.join(wide, "g", "left_semi").select("exact").distinct())
     release(seen, kept, held, chosen, known, rest)
-    return recurring
+    return recurring, lines
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_families: int = MIN_FAMILIES) -> DataFrame:
@@ -190,7 +193,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_families: int) ->
     id_key, text_key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
     keyed = docs.select(id_key.alias("i"), text_key.alias("t"), text.alias("text"))
     lines = materialize(parsed_lines(keyed))
-    drop = recurring_lines(lines, keyed, min_families)
+    drop, lines = recurring_lines(lines, keyed, min_families)
     bits = lines.join(drop, "exact", "left_semi").groupBy(F.col("i").alias("__i"), F.col("t").alias("__t"), F.floor(F.col("no") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, no % 64)")).alias("bits"))
     gone = bits.groupBy("__i", "__t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"), F.sum(F.bit_count("bits")).alias("__n"))
     gone = materialize(gone)

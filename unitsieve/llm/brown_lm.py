@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, release
+from .common import lean, materialize, numbered, release
 
 HEAD = 131_072
 LEADERS = 16_384
@@ -212,7 +212,9 @@ def _summed(train: DataFrame, end: int, cells: int, count: Callable[[np.ndarray]
 
 def _gather(blocks: DataFrame, cells: int) -> np.ndarray:
     out = np.zeros(-(-cells // BLOCK) * BLOCK, np.int64)
-    for r in blocks.toArrow().to_pylist():
+    with lean(blocks.sparkSession):
+        found = blocks.toArrow()
+    for r in found.to_pylist():
         out[r["k"] * BLOCK + np.frombuffer(r["at"], "<u2").astype(np.int64)] = np.frombuffer(r["n"], "<i8")
     return out[:cells]
 
@@ -393,7 +395,8 @@ def _rest(train: DataFrame, lex: Lexicon, of: np.ndarray, classes: int) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(found, pa.int32())], names=["unit", "class"])
 
     out = of.copy()
-    chosen = _summed(train, lex.end, cells, _neighbours(start, of, classes + 1)).mapInArrow(choose, "unit int, class int").toArrow()
+    with lean(train.sparkSession):
+        chosen = _summed(train, lex.end, cells, _neighbours(start, of, classes + 1)).mapInArrow(choose, "unit int, class int").toArrow()
     out[chosen["unit"].to_numpy()] = chosen["class"].to_numpy()
     return out
 

@@ -41,19 +41,26 @@ ROW_GROUP = 32 << 20
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back. What was
-    shuffled on the way is not needed after that and is removed."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/unitsieve/{uuid.uuid4().hex}"
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside run with the settings for written tables; the session's come back."""
     before = {k: spark.conf.get(k) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
             spark.conf.set(k, v)
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared scratch folder and read it back. What was
+    shuffled on the way is not needed after that and is removed."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/unitsieve/{uuid.uuid4().hex}"
+    with lean(spark):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     held = (spark, path)
     _written.append(held)
     out = spark.read.schema(df.schema).parquet(path)

@@ -94,6 +94,12 @@ def test_html():
     ]
 
 
+def test_html_references():
+    data = b"<title>&quot;a&quot; &amp;lt; &eacute;</title><p>ver&amp</p>"
+    assert texts(html.extract(data)) == ['"a" &lt; \u00e9', "ver&"]
+    assert texts(html.extract(data, html.unescape_markup)) == ["&quot;a&quot; &lt; &eacute;", "ver&amp"]
+
+
 def test_html_depth_and_stray_tags():
     assert texts(html.extract(b"<p>" * 1200 + b"deep")) == ["deep"]
     assert texts(html.extract(b"</x><p>a</b>b</p>")) == ["ab"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import model
 from ..extract import dispatch
+from ..extract.registry import Unit
 from ..functions import paths
 
 #: Rows of one Arrow batch, whether of one large file or of many small ones.
@@ -106,9 +107,11 @@ def read_units(files: DataFrame, types: tuple[str, ...] = ()) -> DataFrame:
     return files.select("path", "file").mapInArrow(run, model.UNITS)
 
 
-def content_units(table: DataFrame, path: Column, content: Column, types: tuple[str, ...] = ()) -> DataFrame:
+def content_units(table: DataFrame, path: Column, content: Column, types: tuple[str, ...] = (), extractors: Mapping[str, Callable[[bytes], Iterator[Unit]]] | None = None) -> DataFrame:
     """``UNITS`` of files held in a table: ``content`` is text or bytes. Small files
-    share batches; a table of few, large partitions is spread by the caller."""
+    share batches; a table of few, large partitions is spread by the caller.
+    ``extractors``, by format, are used in place of the formats' own."""
+    extractors = extractors or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Batches()
@@ -117,7 +120,8 @@ def content_units(table: DataFrame, path: Column, content: Column, types: tuple[
                 data = data.as_py() or b""
                 name = dispatch.claim(p, data)
                 if name is not None and (not types or name in types):
-                    yield from out.units(p, name, dispatch.EXTRACTORS[name].extract(data))
+                    extract = extractors.get(name) or dispatch.EXTRACTORS[name].extract
+                    yield from out.units(p, name, extract(data))
         yield from out.rest()
 
     return table.select(path.alias("path"), content.cast("binary").alias("content")).mapInArrow(run, model.UNITS)
